@@ -175,6 +175,7 @@ def with_text(df: DataFrame, html: str = "html", out: str = "text",
         .withColumn("_parsed", parsed_text(F.when(F.col("_odd"), F.col(html))))
     )
     raw = F.when(F.col("_odd"), F.col("_parsed")).otherwise(plain_text(F.col("_part")))
-    return staged.withColumn(out, utf8_prefix(clean_text(raw), limit_bytes(limit_mb))).drop(
-        "_body", "_part", "_odd", "_parsed"
+    cleaned = staged.withColumn("_clean", clean_text(raw))
+    return cleaned.withColumn(out, utf8_prefix(F.col("_clean"), limit_bytes(limit_mb))).drop(
+        "_body", "_part", "_odd", "_parsed", "_clean"
     )

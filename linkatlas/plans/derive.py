@@ -12,6 +12,7 @@ from linkatlas.functions.html import page_title
 from linkatlas.functions.times import EPOCH_1601_GAP, epoch_micros
 from linkatlas.functions.urls import extract_domain
 from linkatlas.operators.tree import NODE_COLUMNS, PAD, TOP, child_key, fold_exports
+from linkatlas.session import durable
 from linkatlas.sources.tables import table
 
 # Parameters of the derivation: pages per export, so that a document is bounded whatever the data size.
@@ -83,8 +84,8 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nodes`` folded back to JSON documents."""
-    return fold_exports(nodes(spark, sf_dir))
+    """``nodes`` folded back to JSON documents. Both stand in for stored tables, so both are written once."""
+    return durable(fold_exports(durable(nodes(spark, sf_dir))))
 
 
 def damaged_exports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ NOISY_SQL = "noisy AS (SELECT doc_id, translate(text, 'xwk', chr(9) || chr(160)
 
 
 def noisy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "xwk", "\t  ").alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "xwk", "\t\u00a0\u2028").alias("t"))
 
 
 @query("x1_clean_text", f"""WITH {NOISY_SQL}, done AS (SELECT doc_id, {Q.clean('t')} AS c FROM noisy)
