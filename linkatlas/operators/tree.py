@@ -230,23 +230,32 @@ def ancestor_keys(node_key: Column) -> Column:
     )
 
 
-def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """Bookmarks below every folder, at any depth; folders without any count 0.
+def subtree_sums(nodes: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Sums over all bookmarks below every folder, at any depth; folders without any get 0.
 
-    Bookmarks are first counted per parent folder, so that the ancestors of a big folder are
+    Bookmarks are first summed per parent folder, so that the ancestors of a big folder are
     spelled out once and not once per bookmark.
     """
+    names = list(measures)
     direct = nodes.filter(F.col("kind") == "url").groupBy("export_id", "parent_key").agg(
-        F.count(F.lit(1)).alias("n")
+        *[F.sum(m).alias(n) for n, m in measures.items()]
+    )
+    above_parent = F.when(F.col("parent_key") == TOP_KEY, F.array().cast("array<string>")).otherwise(
+        ancestor_keys(F.col("parent_key"))
+    )
+    chain = F.concat(above_parent, F.array("parent_key"))
+    above = direct.select("export_id", F.explode(chain).alias("node_key"), *names)
+    zero = nodes.filter(F.col("kind") == "folder").select(
+        "export_id", "node_key", *[F.lit(0).cast("bigint").alias(n) for n in names]
     )
-    chain = F.concat(
-        F.when(F.col("parent_key") == TOP_KEY, F.array().cast("array<string>"))
-        .otherwise(ancestor_keys(F.col("parent_key"))),
-        F.array("parent_key"),
+    return above.unionByName(zero).groupBy("export_id", "node_key").agg(
+        *[F.sum(n).cast("bigint").alias(n) for n in names]
     )
-    above = direct.select("export_id", F.explode(chain).alias("node_key"), "n")
-    zero = nodes.filter(F.col("kind") == "folder").select("export_id", "node_key", F.lit(0).cast("bigint").alias("n"))
-    return above.unionByName(zero).groupBy("export_id", "node_key").agg(F.sum("n").cast("bigint").alias("bookmarks"))
+
+
+def subtree_counts(nodes: DataFrame) -> DataFrame:
+    """Bookmarks below every folder."""
+    return subtree_sums(nodes, {"bookmarks": F.lit(1)})
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:

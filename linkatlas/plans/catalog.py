@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkatlas.plans import fetches, pages, scalars, trees  # noqa: F401
+from linkatlas.plans import fetches, ledgers, pages, scalars, trees  # noqa: F401
 from linkatlas.plans.registry import CHECKS, QUERIES, Query
 
 

@@ -189,3 +189,47 @@ redirects AS (
       CASE WHEN page_id % 11 = 5 THEN page_id WHEN page_id % 3 = 1 THEN 0 ELSE (page_id * 7 + 1) % (SELECT count(*) FROM pages) END
     END AS dst
   FROM pages)"""
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run ledger: one record per fetch, about sixteen records per link over the days of the log.
+
+    A fetch that succeeded at the third try or later is taken as processed with an error.
+    """
+    from linkatlas.operators.fetchlog import final_outcomes
+
+    ends = final_outcomes(attempts(spark, sf_dir), ["url_id", "episode"]).withColumn(
+        "link", F.floor((F.col("episode") * 50 + F.col("url_id")) / 16)
+    )
+    known = link_pages(spark, sf_dir).select(F.col("page_id").alias("link"), "url", "title")
+    return ends.join(known, "link", "left").select(
+        F.concat(F.lit("run-"), F.date_format("ts", "yyyyMMdd")).alias("run_id"),
+        F.coalesce("url", F.concat(F.lit("https://gone.example.org/"), F.col("link").cast("string"))).alias("url"),
+        F.coalesce("title", F.lit("Untitled")).alias("title"),
+        "ts", "us", "outcome",
+        F.when(F.col("outcome") == "failed", F.col("error")).when(F.col("tries") >= 3, "summary error").alias("error"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per day of the log, with version, source and settings that vary by day."""
+    day = F.dayofyear("ts")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), F.date_format("ts", "yyyyMMdd")).alias("run_id"),
+        F.when(day % 7 == 3, "0.9").otherwise("1.0").alias("version"),
+        F.when(day % 5 == 0, "other.json").otherwise("bookmarks.json").alias("source"),
+        F.concat(F.lit("settings-"), (day % 3).cast("string")).alias("config_hash"),
+    ).distinct()
+
+
+def ledger_cte(outcomes_cte: str) -> str:
+    """DuckDB twin of ``ledger`` and ``runs``; needs the CTEs of the outcomes and of the page links."""
+    return outcomes_cte + "," + PAGES_CTE + """,
+ledger AS (
+  SELECT 'run-' || strftime(o.ts, '%Y%m%d') AS run_id, coalesce(p.url, 'https://gone.example.org/' || ((o.episode * 50 + o.url_id) // 16)) AS url,
+    coalesce(p.title, 'Untitled') AS title, o.ts, epoch_us(o.ts) AS us, o.outcome,
+    CASE WHEN o.outcome = 'failed' THEN o.error WHEN o.tries >= 3 THEN 'summary error' END AS error
+  FROM outcomes o LEFT JOIN link_pages p ON p.page_id = (o.episode * 50 + o.url_id) // 16),
+runs AS (
+  SELECT DISTINCT 'run-' || strftime(ts, '%Y%m%d') AS run_id, CASE WHEN dayofyear(ts) % 7 = 3 THEN '0.9' ELSE '1.0' END AS version,
+    CASE WHEN dayofyear(ts) % 5 = 0 THEN 'other.json' ELSE 'bookmarks.json' END AS source, 'settings-' || (dayofyear(ts) % 3) AS config_hash FROM events)"""

@@ -57,10 +57,10 @@ def backoff_gaps(spark, sf_dir):
 
 
 @query("f4_redirects", f"""WITH RECURSIVE {REDIRECTS_CTE}, walk AS (
-  SELECT src, src AS at, dst AS nxt, 0 AS hops FROM redirects
+  SELECT src, src AS cur, dst AS nxt, 0 AS hops FROM redirects
   UNION ALL SELECT w.src, r.src, r.dst, w.hops + 1 FROM walk w JOIN redirects r ON r.src = w.nxt WHERE w.hops < 5),
-ends AS (SELECT src, at, nxt, hops, row_number() OVER (PARTITION BY src ORDER BY hops DESC) AS rn FROM walk)
-SELECT src, CASE WHEN nxt IS NULL THEN at END AS final, hops::INTEGER AS hops, nxt IS NULL AS resolved FROM ends WHERE rn = 1""")
+ends AS (SELECT src, cur, nxt, hops, row_number() OVER (PARTITION BY src ORDER BY hops DESC) AS rn FROM walk)
+SELECT src, CASE WHEN nxt IS NULL THEN cur END AS final, hops::INTEGER AS hops, nxt IS NULL AS resolved FROM ends WHERE rn = 1""")
 def resolved_redirects(spark, sf_dir):
     return L.resolve_redirects(redirects(spark, sf_dir))
 
@@ -76,7 +76,7 @@ def admissions(spark, sf_dir):
 
 
 @query("f6_trailing_load", f"""WITH {ATTEMPTS_CTE}
-SELECT DISTINCT host, us, count(*) OVER w - count(*) OVER s + 1 - 1 + count(*) OVER s AS load,
+SELECT DISTINCT host, us, count(*) OVER w AS load,
   count(*) OVER w > 3 AS over_quota, count(*) OVER s AS requests
 FROM attempts WINDOW w AS (PARTITION BY host ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW), s AS (PARTITION BY host, us)""")
 def trailing_load(spark, sf_dir):
