@@ -157,11 +157,10 @@ def plan_statistics(spark, sf_dir):
 
 @query("l12_progress", f"""WITH {LEDGER}, steps AS (SELECT run_id, url, us, row_number() OVER (PARTITION BY run_id ORDER BY us, url) AS done,
   count(*) OVER (PARTITION BY run_id) AS total, (us - min(us) OVER (PARTITION BY run_id)) / 1e6::DOUBLE AS elapsed FROM ledger)
-SELECT run_id, url, us, done, total, round(done * 100.0::DOUBLE / total, 6) AS percent, elapsed,
-  round(CASE WHEN elapsed > 0 THEN (total - done) / (done / elapsed) END, 4) AS eta FROM steps""")
+SELECT run_id, url, us, done, total, done * 100.0::DOUBLE / total AS percent, elapsed,
+  CASE WHEN elapsed > 0 THEN (total - done) / (done / elapsed) END AS eta FROM steps""")
 def progress(spark, sf_dir):
-    told = L.progress(ledger(spark, sf_dir).select("run_id", "url", "us"))
-    return told.withColumn("percent", F.round("percent", 6)).withColumn("eta", F.round("eta", 4))
+    return L.progress(ledger(spark, sf_dir).select("run_id", "url", "us"))
 
 
 @query("l13_folder_outcomes", f"""WITH {BOTH}, {LATEST_SQL}, told AS (SELECT b.export_id, b.node_key, coalesce(s.outcome, 'absent') AS outcome FROM bookmarks b LEFT JOIN latest s ON s.url = b.url)
