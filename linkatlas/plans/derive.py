@@ -102,12 +102,16 @@ def damaged_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_attempts(table(spark, sf_dir, "events"))
+
+
+def shape_attempts(events: DataFrame) -> DataFrame:
     """Fetch attempts, one per event. Times stay without zone; ``us`` is the same in microseconds."""
     status = (
         F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 301)
         .when(F.col("event_type") == "purchase", 404).when(F.col("event_type") == "signup", 503)
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("host"),
         (F.col("event_id") % 50).alias("url_id"),
