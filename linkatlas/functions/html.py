@@ -38,10 +38,12 @@ TAG = r"<[/a-zA-Z!?][^>]*>"
 # Decoded natively, in this order; the ampersand is last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
             ("&middot;", "·"), ("&amp;", "&")]
-ODD_ENTITY = r"&(?!(?:lt|gt|quot|nbsp|copy|middot|amp);)[#a-zA-Z]"
-LEFT_OVER = rf"(?i)</?(?:{'|'.join(REMOVED)}|{'|'.join(UNREAD)}|textarea|plaintext|xmp|iframe|noembed|noframes)\b|<!--|<!\[|</[^a-zA-Z]"
+# Markup that the expressions may not follow exactly: left-over or unread containers, odd entities, a cut-off tag.
+ODD = (
+    rf"(?i)</?(?:{'|'.join(REMOVED)}|{'|'.join(UNREAD)}|textarea|plaintext|xmp|iframe|noembed|noframes)\b|<!--|<!\[|</[^a-zA-Z]"
+    r"|&(?!(?:lt|gt|quot|nbsp|copy|middot|amp);)[#a-zA-Z]|<[/a-zA-Z!?][^>]*\z"
+)
 QUOTED_CLOSE = r"=\s*(?:\"[^\"<>]*>[^\"]*\"|'[^'<>]*>[^']*')"
-CUT_TAG = r"<[/a-zA-Z!?][^>]*\z"
 CONTENT_DIV = rf"(?is)<div\b[^>]*\bclass\s*=[^>]*(?:{CONTENT_CLASS})"
 
 
@@ -54,11 +56,20 @@ def drop_blocks(html: Column) -> Column:
     return F.regexp_replace(html, BLOCKS, "")
 
 
-def main_part(body: Column) -> Column:
-    """Inside of the first <main>, else of the first <article>, else everything; an empty <main> wins."""
+def _has(c: Column, pattern: str) -> Column:
+    return F.regexp_like(c, F.lit(pattern))
+
+
+def main_block(body: Column) -> Column:
+    """Which block holds the text: the first <main>, else the first <article>, else the whole page."""
+    return F.when(_has(body, MAIN), "main").when(_has(body, ARTICLE), "article").otherwise("page")
+
+
+def main_part(body: Column, block: Column) -> Column:
+    """Inside of the chosen block; an empty <main> wins over a filled <article>."""
     return (
-        F.when(F.regexp_like(body, F.lit(MAIN)), F.regexp_extract(body, MAIN, 1))
-        .when(F.regexp_like(body, F.lit(ARTICLE)), F.regexp_extract(body, ARTICLE, 1))
+        F.when(block == "main", F.regexp_extract(body, MAIN, 1))
+        .when(block == "article", F.regexp_extract(body, ARTICLE, 1))
         .otherwise(body)
     )
 
@@ -71,24 +82,20 @@ def plain_text(part: Column) -> Column:
     return text
 
 
-def needs_parser(body: Column, part: Column) -> Column:
-    """Whether the native path may be inexact for a page, given its reduced body and chosen part."""
-    def has(c: Column, pattern: str) -> Column:
-        return F.regexp_like(c, F.lit(pattern))
-
+def needs_parser(body: Column, block: Column, part: Column) -> Column:
+    """Whether the native path may be inexact for a page."""
     def unbalanced(tag: str) -> Column:
         return F.regexp_count(part, F.lit(rf"(?i)</{tag}\b")) > F.regexp_count(part, F.lit(rf"(?i)<{tag}\b"))
 
-    chosen = has(body, MAIN) | has(body, ARTICLE)
-    block = r"(?is)<(?:main|article)\b"
-    whole = ~chosen
+    chosen = block != "page"
     return (
-        has(body, LEFT_OVER) | has(body, ODD_ENTITY) | has(body, QUOTED_CLOSE) | has(body, CUT_TAG)
-        | (has(body, r"(?i)<main\b") & ~has(body, MAIN))
-        | has(part, r"(?i)<main\b")
-        | (~has(body, MAIN) & has(part, block))
-        | (whole & has(body, CONTENT_DIV))
-        | (chosen & (unbalanced("div") | unbalanced("section") | has(part, r"(?i)</(?:body|html)\b")))
+        _has(body, ODD)
+        | _has(body, QUOTED_CLOSE)
+        | ((block != "main") & _has(body, r"(?i)<main\b"))
+        | ((block == "main") & _has(part, r"(?i)<main\b"))
+        | ((block != "main") & _has(part, r"(?i)<article\b"))
+        | (~chosen & _has(body, CONTENT_DIV))
+        | (chosen & (unbalanced("div") | unbalanced("section") | _has(part, r"(?i)</(?:body|html)\b")))
     )
 
 
@@ -165,17 +172,23 @@ def limit_bytes(limit_mb: float | str | None) -> int:
         return int(DEFAULT_LIMIT_MB * MEGABYTE)
 
 
-def with_text(df: DataFrame, html: str = "html", out: str = "text",
-              limit_mb: float | str | None = DEFAULT_LIMIT_MB) -> DataFrame:
-    """Adds the readable text of an HTML column. Narrow: no shuffle, one Arrow hop for the odd pages."""
-    staged = (
+def staged_parts(df: DataFrame, html: str = "html") -> DataFrame:
+    """The steps of the extraction as columns of their own, so that each is computed once."""
+    return (
         df.withColumn("_body", drop_blocks(F.col(html)))
-        .withColumn("_part", main_part(F.col("_body")))
-        .withColumn("_odd", needs_parser(F.col("_body"), F.col("_part")))
+        .withColumn("_block", main_block(F.col("_body")))
+        .withColumn("_part", main_part(F.col("_body"), F.col("_block")))
+        .withColumn("_odd", needs_parser(F.col("_body"), F.col("_block"), F.col("_part")))
         .withColumn("_parsed", parsed_text(F.when(F.col("_odd"), F.col(html))))
     )
+
+
+def with_text(df: DataFrame, html: str = "html", out: str = "text",
+              limit_mb: float | str | None = DEFAULT_LIMIT_MB) -> DataFrame:
+    """Adds the readable text of an HTML column. Narrow: no shuffle, one Arrow hop for the odd pages."""
+    staged = staged_parts(df, html)
     raw = F.when(F.col("_odd"), F.col("_parsed")).otherwise(plain_text(F.col("_part")))
     cleaned = staged.withColumn("_clean", clean_text(raw))
     return cleaned.withColumn(out, utf8_prefix(F.col("_clean"), limit_bytes(limit_mb))).drop(
-        "_body", "_part", "_odd", "_parsed", "_clean"
+        "_body", "_block", "_part", "_odd", "_parsed", "_clean"
     )

@@ -15,6 +15,7 @@ from linkatlas.functions.html import read_markup
 from linkatlas.functions.text import ANY_BLANK, BLANK_CHARS, FORBIDDEN, LINE_BREAKS
 from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, LAST_MICRO
 from linkatlas.functions.urls import NETLOC, VALID_URL
+from linkatlas.operators.tree import PAD, SECTIONS, TOP, TOP_KEY, UNTITLED
 
 
 def _raw(pattern: str) -> str:
@@ -72,8 +73,6 @@ class BookmarkNodes:
     """
 
     def eval(self, doc: str):
-        from linkatlas.operators.tree import SECTIONS, TOP, TOP_KEY
-
         try:
             roots = json.loads(doc)["roots"]
         except (TypeError, KeyError, ValueError):
@@ -84,8 +83,6 @@ class BookmarkNodes:
         yield from self._children(TOP_KEY, [(roots.get(k), label) for k, label in SECTIONS if roots.get(k)], 1)
 
     def _children(self, parent, nodes, depth):
-        from linkatlas.operators.tree import PAD, UNTITLED
-
         seen = {"folder": 0, "url": 0}
         for node, default in nodes:
             kind = self._kind(node)

@@ -79,13 +79,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("export_id", F.inline(rows)).dropDuplicates(["export_id", "node_key"]).select(*NODE_COLUMNS)
 
 
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes`` written once, for operators that read the table several times."""
+    return durable(nodes(spark, sf_dir))
+
+
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).filter(F.col("kind") == "url")
 
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nodes`` folded back to JSON documents. Both stand in for stored tables, so both are written once."""
-    return durable(fold_exports(durable(nodes(spark, sf_dir))))
+    return durable(fold_exports(stored_nodes(spark, sf_dir)))
 
 
 def damaged_exports(spark: SparkSession, sf_dir: str) -> DataFrame:

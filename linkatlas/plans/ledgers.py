@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkatlas.operators import ledger as L
 from linkatlas.operators.tree import subtree_sums
-from linkatlas.plans.derive import NODES_CTE, PAGES_CTE, bookmarks, ledger, ledger_cte, nodes, runs
+from linkatlas.plans.derive import NODES_CTE, PAGES_CTE, bookmarks, ledger, ledger_cte, runs, stored_nodes
 from linkatlas.plans.fetches import OUTCOMES_CTE
 from linkatlas.plans.registry import query
 from linkatlas.sources.ledger_store import load_ledger, save_ledger
@@ -170,7 +170,7 @@ def folder_outcomes(spark, sf_dir):
     from linkatlas.operators.skew import salted_join
 
     state = L.latest_state(ledger(spark, sf_dir)).select("url", "outcome")
-    told = salted_join(nodes(spark, sf_dir), state, ["url"], "left", ["export_id", "node_key"])
+    told = salted_join(stored_nodes(spark, sf_dir), state, ["url"], "left", ["export_id", "node_key"])
     return subtree_sums(told, {k: F.when(F.col("outcome") == k, 1).otherwise(0) for k in ("processed", "failed")})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkatlas.operators import outline as O
 from linkatlas.plans import sqltext as Q
-from linkatlas.plans.derive import NODES_CTE, nodes
+from linkatlas.plans.derive import NODES_CTE, stored_nodes
 from linkatlas.plans.registry import query
 
 N, CAP = 3, 18
@@ -33,17 +33,17 @@ TEXT_SQL = f"""'graph TD' || chr(10) || string_agg({NODE_LINE} || CASE WHEN pare
 
 
 def rows(spark, sf_dir):
-    return O.outline_rows(nodes(spark, sf_dir), N, CAP)
+    return O.outline_rows(stored_nodes(spark, sf_dir), N, CAP)
 
 
 @query("w1_top_children", f"WITH {OUTLINE_CTE} SELECT export_id, node_key, kind, title FROM visible")
 def top_children(spark, sf_dir):
-    return O.top_children(nodes(spark, sf_dir), N).select("export_id", "node_key", "kind", "title")
+    return O.top_children(stored_nodes(spark, sf_dir), N).select("export_id", "node_key", "kind", "title")
 
 
 @query("w2_overflow", f"WITH {OUTLINE_CTE} SELECT export_id, parent_key, omitted, '... и ' || omitted || ' еще' AS label FROM overflow")
 def overflow(spark, sf_dir):
-    return O.overflow_rows(nodes(spark, sf_dir), N).select("export_id", "parent_key", "omitted", F.col("title").alias("label"))
+    return O.overflow_rows(stored_nodes(spark, sf_dir), N).select("export_id", "parent_key", "omitted", F.col("title").alias("label"))
 
 
 @query("w3_node_cap", f"WITH {OUTLINE_CTE} SELECT export_id, pos, kind, label FROM outline")
@@ -70,7 +70,7 @@ def outline_text(spark, sf_dir):
 SELECT export_id, count(*) AS nodes, count(parent_key) AS edges FROM lines GROUP BY 1""")
 def outline_defaults(spark, sf_dir):
     """The default caps, which exports of 25 pages never reach."""
-    return O.outline_rows(nodes(spark, sf_dir)).groupBy("export_id").agg(
+    return O.outline_rows(stored_nodes(spark, sf_dir)).groupBy("export_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("nodes"), F.count("parent_id").cast("bigint").alias("edges"))
 
 

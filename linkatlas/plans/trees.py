@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkatlas.operators import tree as T
-from linkatlas.plans.derive import EPOCH_1601_GAP, NODES_CTE, damaged_exports, exports, nodes
+from linkatlas.plans.derive import EPOCH_1601_GAP, NODES_CTE, damaged_exports, exports, nodes, stored_nodes
 from linkatlas.plans.registry import query
 from linkatlas.sources import exports as S
 from linkatlas.sources.tables import table
@@ -146,7 +146,7 @@ def folder_paths(spark, sf_dir):
 SELECT export_id, node_key, row_number() OVER (PARTITION BY export_id ORDER BY node_key) AS processing,
   row_number() OVER (PARTITION BY export_id ORDER BY translate(node_key, 'bf', 'fb')) AS outline FROM nodes""")
 def visit_orders(spark, sf_dir):
-    all_nodes = nodes(spark, sf_dir).select("export_id", "node_key")
+    all_nodes = stored_nodes(spark, sf_dir).select("export_id", "node_key")
     one = T.visit_order(all_nodes, "processing").withColumnRenamed("position", "processing")
     two = T.visit_order(all_nodes, "outline").withColumnRenamed("position", "outline")
     return one.join(two, ["export_id", "node_key"])
@@ -157,7 +157,7 @@ SELECT f.export_id, f.node_key, count(b.node_key) AS bookmarks FROM nodes f
 LEFT JOIN nodes b ON b.export_id = f.export_id AND b.kind = 'url' AND starts_with(b.node_key, f.node_key || '/')
 WHERE f.kind = 'folder' GROUP BY 1, 2""")
 def subtree_counts(spark, sf_dir):
-    return T.subtree_counts(nodes(spark, sf_dir))
+    return T.subtree_counts(stored_nodes(spark, sf_dir))
 
 
 @query("t8_rollup_counts", """
@@ -182,7 +182,7 @@ def rollup_counts(spark, sf_dir):
 SELECT f.export_id, f.node_key, count(c.node_key) FILTER (c.kind = 'folder') AS folders, count(c.node_key) FILTER (c.kind = 'url') AS bookmarks
 FROM nodes f LEFT JOIN nodes c ON c.export_id = f.export_id AND c.parent_key = f.node_key WHERE f.kind = 'folder' GROUP BY 1, 2""")
 def child_counts(spark, sf_dir):
-    return T.child_counts(nodes(spark, sf_dir))
+    return T.child_counts(stored_nodes(spark, sf_dir))
 
 
 @query("t10_fold", f"""WITH {NODES_CTE}

@@ -111,8 +111,8 @@ class RetryState(StatefulProcessor):
         self.state = handle.getValueState("fetch", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else (0, 0, None)
-        tries, done, error = known[0], known[1], known[2]
+        seen_before = self.state.exists()
+        tries, done, error = self.state.get() if seen_before else (0, 0, None)
         arrived = pd.concat(list(rows)).sort_values(["attempt", "us"], kind="stable")
         final = None
         for row in arrived.itertuples():
@@ -124,7 +124,7 @@ class RetryState(StatefulProcessor):
             elif tries > self.retries:
                 final, done = "retries_exhausted", 1
         self.state.update((int(tries), int(done), error))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if seen_before else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(arrived["us"].max() // 1000) + self.expiry_ms)
         if final is not None:
