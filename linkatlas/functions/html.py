@@ -30,7 +30,7 @@ VOID = [
 CONTENT_CLASS = "main|content|article"
 DEFAULT_LIMIT_MB = 5.0
 
-BLOCKS = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in REMOVED)
+BLOCKS = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in REMOVED) + ")"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 MAIN = r"(?is)<main\b[^>]*>(.*?)</main\s*>"
 ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
@@ -40,8 +40,8 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"),
             ("&middot;", "·"), ("&amp;", "&")]
 # Markup that the expressions may not follow exactly: left-over or unread containers, odd entities, a cut-off tag.
 ODD = (
-    rf"(?i)</?(?:{'|'.join(REMOVED)}|{'|'.join(UNREAD)}|textarea|plaintext|xmp|iframe|noembed|noframes)\b|<!--|<!\[|</[^a-zA-Z]"
-    r"|&(?!(?:lt|gt|quot|nbsp|copy|middot|amp);)[#a-zA-Z]|<[/a-zA-Z!?][^>]*\z"
+    rf"(?i)<(?:/?(?:{'|'.join(REMOVED)}|{'|'.join(UNREAD)}|textarea|plaintext|xmp|iframe|noembed|noframes)\b"
+    r"|!--|!\[|/[^a-zA-Z]|[/a-zA-Z!?][^>]*\z)|&(?!(?:lt|gt|quot|nbsp|copy|middot|amp);)[#a-zA-Z]"
 )
 QUOTED_CLOSE = r"=\s*(?:\"[^\"<>]*>[^\"]*\"|'[^'<>]*>[^']*')"
 CONTENT_DIV = rf"(?is)<div\b[^>]*\bclass\s*=[^>]*(?:{CONTENT_CLASS})"

@@ -28,15 +28,10 @@ def _json_scalar(c: Column, kind: str) -> Column:
 
 
 def _ascii_escaped(body: Column) -> Column:
-    """Characters beyond ASCII as \\uXXXX, those beyond the basic plane as surrogate pairs."""
-    def unit(n: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
-
+    """Characters beyond ASCII as \\uXXXX, one such unit per UTF-16 unit."""
     def escape(ch: Column) -> Column:
-        code = F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("bigint")
-        high = unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10))
-        low = unit(F.lit(0xDC00) + (code - 0x10000) % 1024)
-        return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(high, low))
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        return F.when(F.octet_length(ch) == 1, ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
     spelled = F.array_join(F.transform(F.split(body, ""), escape), "")
     return F.when(F.octet_length(body) == F.char_length(body), body).otherwise(spelled)

@@ -186,7 +186,8 @@ def fold_exports(nodes: DataFrame) -> DataFrame:
     folders = nodes.filter(F.col("kind") == "folder")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     below = None
-    for depth in range(deepest, 0, -1):
+    # The first round has no members: it folds the childless folders of the deepest level.
+    for depth in range(deepest + 1, 0, -1):
         at_level = leaves.filter(F.col("depth") == depth).drop("depth")
         members = at_level if below is None else at_level.unionByName(below)
         lists = members.groupBy("export_id", "parent_key").agg(
@@ -205,7 +206,7 @@ def fold_exports(nodes: DataFrame) -> DataFrame:
             F.concat(body(F.lit("folder").alias("type"), F.col("title").alias("name")),
                      F.lit(',"children":['), inner, F.lit("]}")).alias("json"),
         )
-    return folders.filter(F.col("depth") == 0).select("export_id", F.lit('{"roots":{}}').alias("raw"))
+    raise AssertionError("unreachable")
 
 
 def _documents(tops: DataFrame) -> DataFrame:

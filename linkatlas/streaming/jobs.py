@@ -111,8 +111,8 @@ class RetryState(StatefulProcessor):
         self.state = handle.getValueState("fetch", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen_before = self.state.exists()
-        tries, done, error = self.state.get() if seen_before else (0, 0, None)
+        known = self.state.get()
+        tries, done, error = known or (0, 0, None)
         arrived = pd.concat(list(rows)).sort_values(["attempt", "us"], kind="stable")
         final = None
         for row in arrived.itertuples():
@@ -124,14 +124,14 @@ class RetryState(StatefulProcessor):
             elif tries > self.retries:
                 final, done = "retries_exhausted", 1
         self.state.update((int(tries), int(done), error))
-        for timer in list(self.handle.listTimers()) if seen_before else []:
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(arrived["us"].max() // 1000) + self.expiry_ms)
         if final is not None:
             yield self._row(key, final, tries, error)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else (0, 1, None)
+        known = self.state.get() or (0, 1, None)
         self.state.clear()
         if not known[1]:
             yield self._row(key, "retries_exhausted", known[0], known[2])
