@@ -89,8 +89,8 @@ def backoff_schedule(starts: DataFrame, us: str = "us", retries: int = RETRIES,
 def backoff_gaps(attempts: DataFrame, keys: list[str], delay: float = RETRY_DELAY, factor: float = 2.0) -> DataFrame:
     """Observed gap before each attempt against the wait that was due.
 
-    The gap to the previous attempt comes from ``OrderedChunks``, as one fetch key may be logged very often:
-    the highest time up to the previous row is the running maximum over rows before.
+    Every attempt also tells its time to the number after it; one grouping by attempt then brings the two
+    times together, without ordering the attempts of a fetch.
     """
     narrow = attempts.select(*keys, "attempt", "us")
     pair = narrow.withColumn("_prev_us", F.lit(None).cast("bigint")).unionByName(

@@ -155,7 +155,7 @@ def plan_run(bookmarks: DataFrame, ledger: DataFrame, mode: str = "normal", dry_
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    known = salted_join(bookmarks, url_states(ledger), ["url"], "left", ["export_id", "node_key"])
+    known = salted_join(bookmarks, url_states(ledger), ["url"], "left", ["export_id", "node_key"], hash_build=True)
 
     def is_true(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))

@@ -86,7 +86,8 @@ def extractive_summaries(docs: DataFrame, key: str, text: str, top: int = 3) ->
     words = docs.select(key, F.posexplode(sentences(F.col(text))).alias("_i", "_s")).select(
         key, "_i", F.explode(F.regexp_extract_all(F.lower("_s"), F.lit(WORD), F.lit(0))).alias("_word"))
     corpus = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_count"))
-    scored = salted_join(words, corpus, ["_word"], "inner", [key, "_i"]).groupBy(key, "_i").agg(
+    scored = salted_join(words, corpus, ["_word"], "inner", [key, "_i"], hash_build=True,
+                         sizes=corpus.select("_word", F.col("_count").alias("count"))).groupBy(key, "_i").agg(
         (F.sum("_count") / F.count(F.lit(1))).alias("_score"))
     best = top_per_group(scored, [key], [F.col("_score").desc(), F.col("_i")], top, ["_i"], "_rank")
     picks = best.groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_picks"))

@@ -9,7 +9,7 @@ from linkatlas.functions import times, urls
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import ATTEMPTS_CTE, NODES_CTE, attempts, nodes
 from linkatlas.plans.registry import query
-from linkatlas.sources.tables import table
+from linkatlas.sources.tables import spread, table
 
 URL_FORMS_SQL = """
 url_forms AS (
@@ -90,7 +90,7 @@ NOISY_SQL = "noisy AS (SELECT doc_id, translate(text, 'xwk', chr(9) || chr(160)
 
 
 def noisy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "xwk", "\t\u00a0\u2028").alias("t"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.translate("text", "xwk", "\t\u00a0\u2028").alias("t"))
 
 
 @query("x1_clean_text", f"""WITH {NOISY_SQL}, done AS (SELECT doc_id, {Q.clean('t')} AS c FROM noisy)
@@ -121,7 +121,7 @@ def outline_label(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(
         F.lit("part").alias("source"), F.col("p_partkey").alias("id"),
         F.concat("p_name", F.lit(' "'), "p_brand", F.lit('" `'), "p_type", F.lit("`")).alias("t"))
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
     return part.unionByName(docs).select("source", "id", X.sanitize_label(F.col("t")).alias("label"))
 
 
@@ -137,7 +137,7 @@ def names(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.lit("page").alias("source"), F.col("page_id").alias("id"), page_title(F.col("html")).alias("name"), F.col("url").alias("parent"))
     text = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" / ")), F.lit(". "), F.lit("?: "))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.lit("document").alias("source"), F.col("doc_id").alias("id"), text.alias("name"),
         F.expr("repeat(concat(source, '-'), cast(doc_id % 60 as int))").alias("parent"))
     return pages.unionByName(docs)
@@ -213,3 +213,12 @@ def settings_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", settings_hash(
         model=F.col("c_mktsegment"), max_tokens=500 + nation, temperature=(1 + nation % 9) / F.lit(10.0),
         output_dir=F.col("c_name"), metadata=F.col("c_acctbal") > 0, diagram=nation % 2 == 0).alias("config_hash"))
+
+
+@query("s10_file_hashes")
+def file_hashes(spark, sf_dir):
+    """Fingerprints of the stored table files. SQL sees no files, so there is no check text; a test covers it."""
+    from linkatlas.sources.documents import file_hashes as hashes
+
+    found = hashes(spark, f"{sf_dir}/pages.parquet", "sha256")
+    return found.select(F.substring_index("path", "/", -1).alias("file"), "hash")

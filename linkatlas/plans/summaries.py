@@ -12,7 +12,7 @@ from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
 from linkatlas.plans.pages import NO_CONTENT, NO_TEXT, gated
 from linkatlas.plans.registry import query
-from linkatlas.sources.tables import table
+from linkatlas.sources.tables import spread, table
 
 TEMPLATE = "Title: {title}\nText: {content}\n--"
 
@@ -35,7 +35,7 @@ summaries AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS summary FROM best
 
 @query("p2_extractive_summaries", f"WITH {SENTENCES_SQL} SELECT d.doc_id, summary FROM documents d LEFT JOIN summaries USING (doc_id)")
 def extractive_summaries(spark, sf_dir):
-    return S.extractive_summaries(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return S.extractive_summaries(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def first_words(batches):
@@ -98,7 +98,7 @@ BODY_SQL = "'---' || chr(10) || front || chr(10) || '---' || chr(10) || chr(10)
 
 def summaries(spark, sf_dir):
     """Pages with their readable text in the place of the summary; times stay without zone."""
-    text = H.with_text(table(spark, sf_dir, "pages"), out="summary")
+    text = H.with_text(spread(table(spark, sf_dir, "pages"), "page_id"), out="summary")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return text.select(
         "page_id", "url", "summary", H.page_title(F.col("html")).alias("title"), F.lit("success").alias("status"),
@@ -174,7 +174,7 @@ def assemble_outcomes(spark, sf_dir):
 
     The text is read once per page; only then it is joined to the bookmarks, of which many may share a page.
     """
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     html = (F.when(F.col("page_id") % 7 == 0, "").when(F.col("page_id") % 7 == 1, F.replace(F.col("html"), F.lit("<article>"), F.lit("<main></main><article>")))
             .otherwise(F.col("html")))
     fetched = pages.withColumn("html", F.when(F.col("page_id") % 10 != 9, html))

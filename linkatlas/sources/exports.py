@@ -60,7 +60,8 @@ def parse_exports(raw: DataFrame) -> DataFrame:
 
 
 def sound(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason") == "").select("export_id", "doc")
+    """Documents without complaint: exactly those with an object under ``roots``, which is the cheaper test."""
+    return parsed.filter(is_object(field(F.col("doc"), "roots"))).select("export_id", "doc")
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
