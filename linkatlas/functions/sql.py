@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from linkatlas.functions.html import read_markup
 from linkatlas.functions.text import ANY_BLANK, BLANK_CHARS, FORBIDDEN, LINE_BREAKS
 from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, LAST_MICRO
-from linkatlas.functions.urls import NETLOC, VALID_URL
+from linkatlas.functions.urls import IGNORED, NETLOC, VALID_URL
 from linkatlas.operators.tree import PAD, SECTIONS, TOP, TOP_KEY, UNTITLED
 
 
@@ -28,8 +28,8 @@ SQUEEZED = "trim(regexp_replace({c}, " + _raw(f"(?U){ANY_BLANK}+") + ", ' '))"
 
 # name -> (parameters, result type, expression); Catalyst inlines them, no Python runs.
 SQL_FUNCTIONS = {
-    "is_valid_url": ("u STRING", "BOOLEAN", f"coalesce(regexp_like(u, {_raw(VALID_URL)}), false)"),
-    "extract_domain": ("u STRING", "STRING", f"nullif(regexp_extract(u, {_raw(NETLOC)}, 1), '')"),
+    "is_valid_url": ("u STRING", "BOOLEAN", f"coalesce(regexp_like(translate(u, {IGNORED!r}, ''), {_raw(VALID_URL)}), false)"),
+    "extract_domain": ("u STRING", "STRING", f"nullif(regexp_extract(translate(u, {IGNORED!r}, ''), {_raw(NETLOC)}, 1), '')"),
     "clean_text": (
         "t STRING", "STRING",
         f"coalesce(trim(BOTH {BLANK_LITERAL} FROM regexp_replace(t, "

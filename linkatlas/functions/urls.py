@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The admitted schemes, and where the host part of a URL ends.
-VALID_URL = r"(?i)\A[\x00-\x20]*https?://[^/?#]+"
-NETLOC = r"\A[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+# The admitted schemes, where the host part of a URL ends, characters ignored anywhere in a URL.
+# A host part with only one kind of square bracket is broken.
+_HOST = r"(?:[^/?#\[\]]*|(?=[^/?#]*\[)(?=[^/?#]*\])[^/?#]*)(?=[/?#]|\z)"
+VALID_URL = rf"(?i)\A[\x00-\x20]*https?://(?=[^/?#]){_HOST}"
+NETLOC = rf"\A[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//({_HOST})"
+IGNORED = "\t\r\n"
 MEGABYTE = 1024 * 1024
 
 
 def is_valid_url(url: Column) -> Column:
     """http(s) scheme and a non-empty host part; NULL is not valid."""
-    return F.coalesce(F.regexp_like(url, F.lit(VALID_URL)), F.lit(False))
+    return F.coalesce(F.regexp_like(F.translate(url, IGNORED, ""), F.lit(VALID_URL)), F.lit(False))
 
 
 def extract_domain(url: Column) -> Column:
     """Host part with user info and port, NULL when there is none."""
-    return F.nullif(F.regexp_extract(url, NETLOC, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.translate(url, IGNORED, ""), NETLOC, 1), F.lit(""))
 
 
 def within_size(text: Column, limit_mb: float = 5.0) -> Column:

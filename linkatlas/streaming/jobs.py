@@ -17,12 +17,8 @@ from linkatlas.streaming.runtime import ROCKSDB, drained, latest_update, setting
 
 
 def event_time(ts: str = "ts") -> Column:
-    """Watermarks want a timestamp with zone."""
-    return F.col(ts).cast("timestamp")
-
-
-def micros(ts: Column) -> Column:
-    return epoch_micros(ts.cast("timestamp_ntz"))
+    """Watermarks want an instant; times without zone are taken as UTC, whatever the session zone."""
+    return F.timestamp_micros(epoch_micros(F.col(ts)))
 
 
 def ingested_pages(pages: DataFrame) -> DataFrame:
@@ -33,8 +29,9 @@ def ingested_pages(pages: DataFrame) -> DataFrame:
 
 
 def first_keys(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Each key once, within the lateness bound. Only the key comes out, so arrival order cannot show."""
-    marked = stream.withColumn("_ts", event_time(ts)).withWatermark("_ts", delay)
+    """Each key once, within the lateness bound. Only the key comes out, so arrival order cannot show;
+    only key and time go into the shuffle."""
+    marked = stream.select(key, event_time(ts).alias("_ts")).withWatermark("_ts", delay)
     return drained(marked.dropDuplicatesWithinWatermark([key]).select(key)).select(key)
 
 
@@ -44,7 +41,7 @@ def windowed_load(stream: DataFrame, key: str, ts: str, delay: str, length: str,
     counted = (
         stream.withColumn("_ts", event_time(ts)).withWatermark("_ts", delay).groupBy(key, window.alias("_w"))
         .agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
-        .select(key, micros(F.col("_w.start")).alias("start_us"), "requests")
+        .select(key, F.unix_micros(F.col("_w.start")).alias("start_us"), "requests")
     )
     return latest_update(drained(counted, "update"), [key, "start_us"], ["requests"])
 
@@ -55,7 +52,7 @@ def session_bursts(stream: DataFrame, key: str, ts: str, delay: str, gap: str) -
     sessions = (
         marked.groupBy(key, F.session_window("_ts", gap).alias("_s"))
         .agg(F.count(F.lit(1)).cast("bigint").alias("requests"), F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
-        .select(key, micros(F.col("_lo")).alias("start_us"), micros(F.col("_hi")).alias("end_us"), "requests")
+        .select(key, F.unix_micros(F.col("_lo")).alias("start_us"), F.unix_micros(F.col("_hi")).alias("end_us"), "requests")
     )
     with settings(stream.sparkSession, **{"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}):
         return drained(sessions).drop("batch")

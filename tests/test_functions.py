@@ -76,13 +76,34 @@ def test_text_hash_rejects_unknown():
 
 
 def test_urls(spark):
-    bad = ["ftp://example.com", "javascript:alert('xss')", "file:///etc/passwd", "not-a-url", "", "http://", "https:///x", None]
-    good = ["HTTP://A.B", "https://a b/c", " http://x", "http://@/"]
+    bad = ["http://[::1/x", "ftp://example.com", "javascript:alert('xss')", "file:///etc/passwd", "not-a-url", "", "http://", "https:///x", None]
+    good = ["HTTP://A.B", "http://[::1]/x", "ht\ntp://x", "https://a b/c", " http://x", "http://@/"]
     assert values(spark, bad, urls.is_valid_url(V)) == [False] * len(bad)
     assert values(spark, good, urls.is_valid_url(V)) == [True] * len(good)
     assert values(spark, ["http://u:p@h:80/x", "x", "http:///y", "//h/z"], urls.extract_domain(V)) == ["u:p@h:80", None, None, "h"]
 
 
+URLS = st.lists(st.sampled_from(["http", "HTTPS", "ftp", ":", "//", "/", "?", "#", "[", "]", "a", "h.x", "@", ":80", " ", "\t", "\n", "::1"]), max_size=9).map("".join)
+
+
+@given(st.lists(URLS, min_size=60, max_size=120))
+@settings(max_examples=8, deadline=None)
+def test_urls_split_like_the_standard_library(spark, rows):
+    from urllib.parse import urlsplit
+
+    def host(u):
+        try:
+            parts = urlsplit(u)
+        except ValueError:
+            return None, False
+        return parts.netloc or None, parts.scheme in ("http", "https") and bool(parts.netloc)
+
+    # Addresses inside brackets are not checked, so those are left out.
+    rows = [r for r in rows if not ("[" in r and "]" in r)]
+    got = list(zip(values(spark, rows, urls.extract_domain(V)), values(spark, rows, urls.is_valid_url(V))))
+    assert got == [host(r) for r in rows]
+
+
 def test_paths(spark):
     base = F.lit("/base")
     assert values(spark, ["/base/x", "/base_evil", "/base/../x", "/base", "/a/../base/./y"], urls.is_safe_path(V, base)) == [True, False, False, True, True]
