@@ -82,26 +82,43 @@ def plain_text(part: Column) -> Column:
     return text
 
 
-def needs_parser(body: Column, block: Column, part: Column) -> Column:
-    """Whether the native path may be inexact for a page."""
+def _uneven(html: Column, opening: str, closing: str) -> Column:
+    return F.regexp_count(html, F.lit(opening)) != F.regexp_count(html, F.lit(closing))
+
+
+def needs_parser(html: Column, body: Column, block: Column, part: Column) -> Column:
+    """Whether the native path may be inexact for a page.
+
+    An unclosed script, style or comment swallows the rest of the page, even from inside a removed block;
+    so does a removed block around one of its own kind.
+    """
     def unbalanced(tag: str) -> Column:
         return F.regexp_count(part, F.lit(rf"(?i)</{tag}\b")) > F.regexp_count(part, F.lit(rf"(?i)<{tag}\b"))
 
     chosen = block != "page"
+    more_ends = F.regexp_count(part, F.lit("</[a-zA-Z]")) > F.regexp_count(part, F.lit(rf"(?i)<(?!(?:{'|'.join(VOID)})\b)[a-z]"))
     return (
         _has(body, ODD)
+        | _uneven(html, r"(?i)<script\b", r"(?i)</script\b")
+        | _uneven(html, r"(?i)<style\b", r"(?i)</style\b")
+        | _uneven(html, r"(?i)<(?:nav|footer|header)\b", r"(?i)</(?:nav|footer|header)\b")
+        | _uneven(html, "<!--", "-->")
         | _has(body, QUOTED_CLOSE)
         | ((block != "main") & _has(body, r"(?i)<main\b"))
         | ((block == "main") & _has(part, r"(?i)<main\b"))
         | ((block != "main") & _has(part, r"(?i)<article\b"))
         | (~chosen & _has(body, CONTENT_DIV))
-        | (chosen & (unbalanced("div") | unbalanced("section") | _has(part, r"(?i)</(?:body|html)\b")))
+        | (chosen & (more_ends | unbalanced("div") | unbalanced("section") | unbalanced("p") | _has(part, r"(?i)</(?:body|html)\b")))
     )
 
 
 class _Reader(HTMLParser):
     """Collects the text of the page and of the first main, article and content div in one pass."""
 
+    # Only these hold raw text, whatever newer versions of the base class add.
+    CDATA_CONTENT_ELEMENTS = ("script", "style")
+    RCDATA_CONTENT_ELEMENTS = ()
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
@@ -178,7 +195,7 @@ def staged_parts(df: DataFrame, html: str = "html") -> DataFrame:
         df.withColumn("_body", drop_blocks(F.col(html)))
         .withColumn("_block", main_block(F.col("_body")))
         .withColumn("_part", main_part(F.col("_body"), F.col("_block")))
-        .withColumn("_odd", needs_parser(F.col("_body"), F.col("_block"), F.col("_part")))
+        .withColumn("_odd", needs_parser(F.col(html), F.col("_body"), F.col("_block"), F.col("_part")))
         .withColumn("_parsed", parsed_text(F.when(F.col("_odd"), F.col(html))))
     )
 

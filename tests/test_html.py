@@ -51,3 +51,20 @@ def test_bad_limit_means_default(setting):
 
 def test_parser_survives_anything():
     assert read_markup("<main><![x]><a <b") is not None
+
+
+TOKENS = ["<main>", "</main>", "<article>", "</article>", "<div>", '<div class="content">', "</div>", "<p>", "</p>", "<b>", "<br>", "<nav>", "</nav>",
+          "<script>", "</script>", "<style>", "</style>", "<header>", "</header>", "<!-- x -->", "<!-- <nav> -->", "</div>", "<ul><li>", "</li>", "<title>", "</title>", "a", "b ", "\n", " c\td ", "&amp;", "&lt;", "&#65;", "&copy", "<section>", "</section>", "</body>"]
+
+
+def test_both_ways_agree(spark):
+    """Random pages: the chosen path gives what the parser gives."""
+    import random
+
+    from linkatlas.functions.sql import read_page
+
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice(TOKENS) for _ in range(rng.randrange(1, 14)))) for i in range(12000)]
+    got = with_text(spark.createDataFrame(rows, "i int, html string")).select("i", "html", "text").collect()
+    wrong = [(r["html"], r["text"], read_page(r["html"])) for r in got if r["text"] != read_page(r["html"])]
+    assert wrong == []
