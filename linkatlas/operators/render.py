@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkatlas.functions.text import document_file, output_folder
+from linkatlas.functions.text import document_file, output_folder, path_name
 from linkatlas.operators.skew import OrderedChunks
 
 # Fixed value: the label of the source line.
@@ -61,6 +61,4 @@ def document_paths(bookmarks: DataFrame, base: str) -> DataFrame:
 
 
 def _step(path: Column, name: Column) -> Column:
-    from linkatlas.functions.text import path_name
-
     return F.concat(path, F.lit("/"), path_name(name, path, 255, True))

@@ -69,7 +69,7 @@ def _describe(node: Column, default: Column, position: Column) -> Column:
     )
 
 
-def _ranked(described: Column) -> Column:
+def ranked_children(described: Column) -> Column:
     """Number the folders, the bookmarks and the rejects of one child list, each kind from 0."""
     def kind_of(test):
         return F.transform(
@@ -87,7 +87,7 @@ def _ranked(described: Column) -> Column:
     )
 
 
-def _sections(docs: DataFrame) -> DataFrame:
+def section_children(docs: DataFrame) -> DataFrame:
     """Child list of the synthetic top folder: the known root sections that hold anything."""
     roots = field(F.col("doc"), "roots")
     listed = F.array(*[
@@ -128,12 +128,12 @@ def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame,
         F.array(F.lit(TOP)).alias("folder_path"),
     )
     nodes, rejected = top, None
-    frontier = _sections(docs)
+    frontier = section_children(docs)
     for depth in range(1, max_depth + 2):
         if depth > max_depth:
             raise ValueError(f"export nested deeper than {max_depth} levels")
         level = durable(
-            frontier.select("export_id", "parent_key", "parent_path", F.inline(_ranked(F.col("children"))))
+            frontier.select("export_id", "parent_key", "parent_path", F.inline(ranked_children(F.col("children"))))
         )
         kept = level.filter(F.col("kind").isin("folder", "url"))
         path = F.when(

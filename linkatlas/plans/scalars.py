@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from linkatlas.functions import text as X
 from linkatlas.functions import times, urls
+from linkatlas.functions.html import page_title
+from linkatlas.operators.ledger import settings_hash
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import ATTEMPTS_CTE, NODES_CTE, attempts, nodes
 from linkatlas.plans.registry import query
+from linkatlas.sources import documents
 from linkatlas.sources.tables import spread, table
 
 URL_FORMS_SQL = """
@@ -132,8 +135,6 @@ NAMES_SQL = """names AS (
 
 
 def names(spark, sf_dir):
-    from linkatlas.functions.html import page_title
-
     pages = table(spark, sf_dir, "pages").select(
         F.lit("page").alias("source"), F.col("page_id").alias("id"), page_title(F.col("html")).alias("name"), F.col("url").alias("parent"))
     text = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" / ")), F.lit(". "), F.lit("?: "))
@@ -207,8 +208,6 @@ SELECT c_custkey, sha256('{"generate_mermaid_diagram": ' || CASE WHEN c_nationke
   ', "llm_max_tokens": ' || (500 + c_nationkey) || ', "llm_model": "' || c_mktsegment || '", "llm_temperature": 0.' || (1 + c_nationkey % 9) ||
   ', "markdown_include_metadata": ' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END || ', "output_dir": "' || c_name || '"}') AS config_hash FROM customer""")
 def settings_fingerprint(spark, sf_dir):
-    from linkatlas.operators.ledger import settings_hash
-
     nation = F.col("c_nationkey")
     return table(spark, sf_dir, "customer").select("c_custkey", settings_hash(
         model=F.col("c_mktsegment"), max_tokens=500 + nation, temperature=(1 + nation % 9) / F.lit(10.0),
@@ -218,7 +217,5 @@ def settings_fingerprint(spark, sf_dir):
 @query("s10_file_hashes")
 def file_hashes(spark, sf_dir):
     """Fingerprints of the stored table files. SQL sees no files, so there is no check text; a test covers it."""
-    from linkatlas.sources.documents import file_hashes as hashes
-
-    found = hashes(spark, f"{sf_dir}/pages.parquet", "sha256")
+    found = documents.file_hashes(spark, f"{sf_dir}/pages.parquet", "sha256")
     return found.select(F.substring_index("path", "/", -1).alias("file"), "hash")

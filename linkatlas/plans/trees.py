@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkatlas.operators import tree as T
-from linkatlas.plans.derive import EPOCH_1601_GAP, NODES_CTE, damaged_exports, exports, nodes, stored_nodes
+from linkatlas.plans.derive import EPOCH_1601_GAP, NODES_CTE, damaged_exports, exports, link_pages, nodes, stored_nodes
 from linkatlas.plans.registry import query
 from linkatlas.sources import exports as S
 from linkatlas.sources.tables import table
@@ -71,8 +71,6 @@ ODD_NODES_SQL = f"""WITH {NODES_CTE}, odd AS (SELECT *, page_id % 8 AS k FROM li
 
 def odd_exports(spark, sf_dir):
     """One small export per page: a bar section that holds the page in one of eight odd shapes."""
-    from linkatlas.plans.derive import link_pages
-
     def js(c):
         text = F.to_json(F.struct(c.alias("v")))
         return F.substring(text, F.lit(6), F.char_length(text) - 6)
@@ -122,7 +120,7 @@ def titles(spark, sf_dir):
 SELECT export_id, title AS section, ordinal::INTEGER AS place FROM nodes WHERE depth = 1""")
 def sections(spark, sf_dir):
     docs = sound_docs(spark, sf_dir)
-    return T._sections(docs).select("export_id", F.inline(T._ranked(F.col("children")))).select(
+    return T.section_children(docs).select("export_id", F.inline(T.ranked_children(F.col("children")))).select(
         "export_id", F.col("title").alias("section"), F.col("ordinal").alias("place"))
 
 

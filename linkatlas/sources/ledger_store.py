@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkatlas.session import scratch_path
 
@@ -18,10 +19,5 @@ def save_ledger(rows: DataFrame, path: str | None = None) -> str:
 
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("inferSchema", "false").parquet(path).withColumn("run_id", _text("run_id"))
-
-
-def _text(name: str):
-    from pyspark.sql import functions as F
-
-    return F.col(name).cast("string")
+    """All records; run ids are text even when they look like numbers."""
+    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
