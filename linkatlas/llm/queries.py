@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkatlas.llm import exact, minhash, packing, substring, tokens, topk, urls
+from linkatlas.llm import exact, language, minhash, packing, shards, substring, tokens, topk, toxicity, urls
+from linkatlas.session import scratch_path
 from linkatlas.sources.tables import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 # Host, path and verdict of the URL rules.
 RULES = [
@@ -113,9 +115,22 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.write_shards(table(spark, sf_dir, "documents"), WORD_VOCABULARY, scratch_path(spark, "shards"), key=20240601)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minhash_near_dedup, op2_url_filters, op3_exact_dedup, op4_exact_top_k, op5_bpe_coding, op6_substring_dedup, op7_best_fit_packing)
+        op1_minhash_near_dedup, op2_url_filters, op3_exact_dedup, op4_exact_top_k, op5_bpe_coding, op6_substring_dedup, op7_best_fit_packing,
+        op8_token_shards, op9_language_id, op10_toxicity)
 }
 CHECKS: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_exact_top_k": OP4_SQL,
