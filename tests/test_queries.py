@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import difference, duck
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+# The training-data operators are tested in their own folder.
+QUERIES, CHECKS = entry.catalog.queries(), entry.catalog.checks()
 
 
 @pytest.fixture(scope="module")
