@@ -20,6 +20,8 @@ from linkatlas.session import durable
 SLOTS = 128
 MISS = 1e-6
 TARGET = 400
+HUB_BLOCK = 512
+MORE_HUBS = 64
 
 
 def bands_for(percent: int, slots: int = SLOTS, miss: float = MISS) -> tuple[int, int]:
@@ -135,6 +137,61 @@ def _verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return verify
 
 
+def _linked(own: np.ndarray, sizes: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    return (common > 0) & (100 * common >= percent * (len(own) + sizes - common))
+
+
+class _Hubs:
+    """The sets of some hubs, ready to count what a set has in common with each: a table of flags, or runs of owners where that would be large."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        self.values, at = np.unique(flat, return_inverse=True)
+        self.flags = None
+        if len(self.values) * len(sets) <= 1 << 25:
+            self.flags = np.zeros((len(self.values), len(sets)), bool)
+            self.flags[at, owner] = True
+        else:
+            order = np.argsort(at, kind="stable")
+            self.owner, self.begin = owner[order], np.searchsorted(at[order], np.arange(len(self.values) + 1))
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.values, own)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == own)]
+        if self.flags is not None:
+            return self.flags[at].sum(axis=0)
+        return np.bincount(np.concatenate([self.owner[self.begin[i]:self.begin[i + 1]] for i in at.tolist()] or [np.zeros(0, np.int64)]), minlength=len(self.sizes))
+
+
+def _block_verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket, block and chunk, the hubs first. Only links leave. A pair is tested in the least bucket that both share."""
+        key, rows, hubs = None, [], None
+        unpack = zstandard.ZstdDecompressor()
+        for batch in it:
+            a, b = [], []
+            for bucket, block, chunk, is_member, node, component, rank, mine, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, block, chunk) != key:
+                    key, rows, hubs = (bucket, block, chunk), [], None
+                own = shingle_set(unpack.decompress(packed).decode(), k)
+                if not is_member:
+                    rows.append((own, node, component, rank, set(mine)))
+                    continue
+                if not rows:
+                    continue
+                hubs = hubs or _Hubs([r[0] for r in rows])
+                fits = _linked(own, hubs.sizes, hubs.common(own), percent)
+                for i in np.flatnonzero(fits).tolist():
+                    _, other, other_in, other_rank, others = rows[i]
+                    if other_in != component and (rank is None or rank > other_rank) and bucket == min(others.intersection(mine)):
+                        a.append(other)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return verify
+
+
 def _verified(pairs: DataFrame, packed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """The pairs ``(hub, member)`` whose whole sets reach the similarity. A hub with many members is repeated
     per chunk of them, as many as its own count asks for."""
@@ -147,6 +204,26 @@ def _verified(pairs: DataFrame, packed: DataFrame, k: int, percent: int, n: int)
     return met.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
 
 
+def _verified_blocks(rows: DataFrame, done: int, hubs: int, packed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+    """Links between the hubs of ranks ``done + 1`` to ``hubs`` of each bucket and its members of other components. Members travel once per
+    block of hubs, and no pair is a row: a task holds a block of hubs and streams a chunk of members past it."""
+    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    mine = rows.groupBy("node").agg(F.collect_list("bucket").alias("mine"))
+    full = rows.join(mine, "node")
+    ranked = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= hubs).select("bucket", "node", "rank")
+    full = full.join(ranked, ["bucket", "node"], "left")
+    fan = F.ceil(F.col("size") / (5 * TARGET)).cast("int")
+    block = ((F.col("rank") - done - 1) / HUB_BLOCK).cast("int")
+    blocks = F.ceil((F.least(F.col("size"), F.lit(hubs)) - done) / HUB_BLOCK).cast("int")
+    some = ["bucket", "block", "chunk", "is_member", "node", "component", "rank", "mine"]
+    as_hub = full.filter(F.col("rank") > done).withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), fan - 1)))
+    as_member = full.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("chunk", F.pmod(F.xxhash64("node"), fan).cast("int"))
+    both = as_hub.withColumn("is_member", F.lit(False)).select(*some).unionByName(as_member.withColumn("is_member", F.lit(True)).select(*some))
+    met = both.join(packed.withColumnRenamed("doc_id", "node"), "node").select(*some, "packed")
+    dealt = met.repartition(n, "bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "is_member")
+    return dealt.mapInArrow(_block_verifier(k, percent), "a bigint, b bigint")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                 partitions: int | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable over links), ``kept``.
@@ -156,9 +233,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Each set gets a SuperMinHash signature; equal sets become one class, named by its least id.
     2. Classes that share a band meet in a bucket. Buckets with the same members count once.
     3. In each bucket the members with the largest sum of bucket sizes are hubs: the first hub is compared
-       with all members, on whole sets. Where a bucket then still spans several components, four times as many
+       with all members, on whole sets. Where a bucket then still spans several components, 64 times as many
        hubs follow, and so on, until each pair of a bucket is tested or lies in one component. So the links between
-       different texts decide every component, yet a group of near copies costs one comparison each.
+       different texts decide every component, yet a group of near copies costs one comparison each. Later hubs are held in
+       blocks that members are streamed past, so that no table of pairs is made.
     4. Links are grouped by union-find inside partitions and star steps across them.
 
     A pair at the threshold is overlooked by the bands with probability 1e-6 at most; all else is exact up to
@@ -183,25 +261,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     packed = durable(slim.join(wanted, "doc_id").mapInArrow(_pack, "doc_id bigint, packed binary"))
 
-    links, found, open_rows, done, hubs = None, None, members, 0, 1
     first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    best = members.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("bucket", F.col("node").alias("hub"))
+    pairs = members.join(best, "bucket").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct()
+    links, done = durable(_verified(durable(pairs), packed, k, percent, n)), 1
     while True:
-        ranked = open_rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= hubs)
-        ranked = ranked.select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_in") if found is not None else
-                               F.col("node").alias("hub_in"), "rank")
-        met = open_rows.join(ranked.filter(F.col("rank") > done), "bucket").filter("node <> hub")
-        if found is not None:
-            met = met.filter("component <> hub_in")
-        pairs = met.select("hub", F.col("node").alias("member")).distinct()
-        new = _verified(durable(pairs), packed, k, percent, n)
-        links = durable(new if links is None else links.unionByName(new))
         found = components(links)
         tied = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = tied.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        done, hubs = hubs, hubs * 4
         open_rows = durable(tied.filter(F.col("size") > done + 1).join(split, "bucket"))
         if open_rows.isEmpty():
             break
+        hubs = done * MORE_HUBS
+        links = durable(links.unionByName(_verified_blocks(open_rows, done, hubs, packed, k, percent, n)))
+        done = hubs
     reach = named.select("doc_id", "n", "one", "two", "node").join(found, "node", "left").select(
         "doc_id", "n", F.coalesce("component", "node").alias("component_id"))
     rest = signed_docs.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
