@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linkatlas.llm.text import batches, texts
 from linkatlas.llm.tokens import WordEncoder, shared_encoder
 from linkatlas.operators.skew import OrderedChunks
+from linkatlas.session import durable
 
 CAPACITY = 2048
 END = 0
@@ -161,8 +162,9 @@ def packed_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     encoder = shared_encoder(spark, path, WordEncoder)
-    cut = texts(docs, id_col, text_col).mapInArrow(
-        _pieces(encoder, capacity, end), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    # Stored, since sampling the ranges below would tokenise all texts once more.
+    cut = durable(texts(docs, id_col, text_col).mapInArrow(
+        _pieces(encoder, capacity, end), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"))
     chunks = OrderedChunks(cut, ["length"], ["doc_id", "piece", "ids_crc32"])
     counts = {r["length"]: r["count"] for r in chunks.df.groupBy("length").count().collect()}
     runs = placements(plan_bins(counts, capacity))

@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -85,19 +86,28 @@ class RankArrayBpe:
 
 
 class _Memo(dict):
-    """Results by key; emptied when it holds ``CACHED`` of them, so that memory stays bounded."""
+    """Results by key, in two generations of at most ``CACHED`` each: what the older one holds is taken over when
+    it is asked for again, the rest is forgotten, so that memory stays bounded and common words stay known."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteEncoder:
     """Byte-level BPE: ids of whole texts and texts of ids. Made from the text of a ``tokenizer.json``; caches fill in the tasks."""
 
@@ -122,7 +132,7 @@ class ByteEncoder:
         self.split = regex.compile(BYTE_PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.edge = re.compile(r"(?<=\S)(?= )")
-        self.piece = _Memo(lambda word: np.array(self.bpe.merge([self.byte_id[b] for b in word.encode()]), "<u4").tobytes())
+        self.piece = _Memo(lambda word: packed_ids(self.bpe.merge([self.byte_id[b] for b in word.encode()])))
         self.head = _Memo(self._segment)
         self.tail = _Memo(lambda word: self._segment(" " + word))
         self.ready = True
@@ -131,7 +141,7 @@ class ByteEncoder:
         out = []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append(packed_ids([self.special[part]]))
             else:
                 out += map(self.piece.__getitem__, self.split.findall(part))
         return b"".join(out)
@@ -170,6 +180,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(self.source)
+        self.model = self.library.model
+        self.tokenize = self.model.tokenize
         self.special = [t["content"].encode() for t in json.loads(self.source)["added_tokens"]]
         self.letters = byte_letters()
         self.split = regex.compile(WORD_PATTERN)
@@ -179,12 +191,12 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
-        return np.array([t.id for t in self.library.model.tokenize(letters)], "<u4").tobytes()
+        return packed_ids([t.id for t in self.tokenize(letters)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if any(s in word for s in self.special) or max(text) > LATIN_END:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return packed_ids(self.library.encode(text, add_special_tokens=False).ids)
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
         return self.part[text] if text.isascii() and text.isalpha() else b"".join(map(self.part.__getitem__, self.split.findall(text)))
 
