@@ -127,7 +127,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     # The numbers of the query blocks, one for each 4096 queries; each meets all row blocks of its width, spread by a salt.
     plan = query_blocks.select("width", "block")
     fan = max(1, parts // max(1, plan.count()))
-    dealt = row_blocks.join(F.broadcast(plan), "width").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(fan)))
+    dealt = row_blocks.select("width", "ids", "matrix").join(F.broadcast(plan), "width").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(fan)))
 
     def paired(ranges: DataFrame) -> DataFrame:
         known = owners.join(ranges, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "low", "step")).alias("known"))
