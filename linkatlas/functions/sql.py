@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from linkatlas.functions.html import read_markup
+from linkatlas.functions.html import DEFAULT_LIMIT_MB, limit_bytes, read_markup
 from linkatlas.functions.text import ANY_BLANK, BLANK_CHARS, FORBIDDEN, LINE_BREAKS
 from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, LAST_MICRO
 from linkatlas.functions.urls import IGNORED, NETLOC, VALID_URL
@@ -54,16 +54,16 @@ def register_sql_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
 
 
-def read_page(html: str | None) -> str:
-    """Readable text of one page; no markup gives ''."""
-    lines = read_markup(html).splitlines() if html else []
-    pieces = (piece.strip() for line in lines for piece in line.strip().split(" "))
-    return " ".join(piece for piece in pieces if piece)
+@F.pandas_udf(StringType())
+def parsed_page(html: pd.Series) -> pd.Series:
+    """The raw text that the parser finds in a page; no markup gives ''."""
+    return html.map(lambda page: read_markup(page) if page else "")
 
 
-@F.pandas_udf(StringType())
-def extract_text(html: pd.Series) -> pd.Series:
-    return html.map(read_page)
+def _whole_characters(text: str, limit: int) -> str:
+    """SQL for the longest prefix of whole characters within ``limit`` bytes."""
+    cuts = ", ".join(f"try_validate_utf8(CAST(substring(encode({text}, 'UTF-8'), 1, {limit - back}) AS STRING))" for back in range(4))
+    return f"CASE WHEN octet_length({text}) <= {limit} THEN {text} ELSE coalesce({cuts}, '') END"
 
 
 class BookmarkNodes:
@@ -109,7 +109,10 @@ NODE_SHAPE = "node_key string, parent_key string, kind string, title string, url
 
 
 def register_python_functions(spark: SparkSession) -> None:
-    spark.udf.register("extract_text", extract_text)
+    spark.udf.register("parsed_page", parsed_page)
+    register_sql_functions(spark)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION capped_text(t STRING) RETURNS STRING RETURN {_whole_characters('t', limit_bytes(DEFAULT_LIMIT_MB))}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_text(html STRING) RETURNS STRING RETURN capped_text(clean_text(parsed_page(html)))")
     spark.udtf.register("bookmark_nodes", F.udtf(BookmarkNodes, returnType=NODE_SHAPE))
 
 

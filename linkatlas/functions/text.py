@@ -108,7 +108,7 @@ def path_name(name: Column, parent: Column, limit: int = 255, folder: bool = Fal
     room_for_unnamed = (parent == "") | (budget >= len(UNNAMED))
     return (
         F.when(F.coalesce(name, F.lit("")) == "", UNNAMED)
-        .when(budget <= 0, hash_name(name))
+        .when((budget <= 0) | replace_forbidden(name).isin(".", ".."), hash_name(name))
         .when(blank & room_for_unnamed, UNNAMED)
         .when(blank, hash_name(name))
         .otherwise(F.coalesce(_byte_cut(replace_forbidden(name), budget), hash_name(name)))

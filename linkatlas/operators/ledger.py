@@ -24,7 +24,22 @@ def _json_scalar(c: Column, kind: str) -> Column:
         plain = F.to_json(F.struct(c.alias("v")))
         body = F.substring(plain, F.lit(6), F.char_length(plain) - 6)
         return _ascii_escaped(body)
-    return c.cast("string")
+    return _plain_number(c.cast("string")) if kind == "number" else c.cast("string")
+
+
+def _plain_number(text: Column) -> Column:
+    """A number in the spelling of the stored fingerprints: digits between 1e-4 and 1e16, else a bare exponent of two digits at least.
+    Spark's own text of a double has a point and an ``E`` below 1e-3 and from 1e7 on; its digits are the same."""
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), "^-", "")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    power = F.when(F.contains(text, F.lit("E")), F.split_part(text, F.lit("E"), F.lit(2)).cast("int"))
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
+    rest = F.substr(whole, power + 2)
+    large = F.concat(F.substr(whole, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    bare = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    return F.when(power.isNull(), text).otherwise(F.concat(sign, F.when((power >= -4) & (power < 0), small).when((power >= 0) & (power < 16), large).otherwise(bare)))
 
 
 def _ascii_escaped(body: Column) -> Column:
@@ -148,7 +163,7 @@ MODES = ("normal", "resume", "check_error")
 
 
 def plan_run(bookmarks: DataFrame, ledger: DataFrame, mode: str = "normal", dry_run: bool = False,
-             cursor: tuple[list[str], int] | None = None, suffix: bool = False) -> DataFrame:
+             cursor: tuple[list[str], int] | None = None, suffix: bool = True) -> DataFrame:
     """Adds ``decision`` to every bookmark; a plan only, nothing is fetched or written.
 
     process, skip_done, skip_failed, skip_position or skip_not_error. One join with the per-URL states.

@@ -46,7 +46,8 @@ def output_folders(nodes: DataFrame, base: str) -> DataFrame:
 
 
 def document_paths(bookmarks: DataFrame, base: str) -> DataFrame:
-    """Path of every bookmark's document. Equal paths in one export get ``_2``, ``_3`` and on in processing order.
+    """Path of every bookmark's document, no two alike. Equal paths in one export get ``_2``, ``_3`` and on in processing order. Where such a
+    name is taken by another bookmark's own title, or goes over the byte budget, a hash of the bookmark's key names the document.
 
     The numbering runs over ``OrderedChunks``, as many bookmarks may share one title and folder.
     """
@@ -57,7 +58,11 @@ def document_paths(bookmarks: DataFrame, base: str) -> DataFrame:
     numbered = OrderedChunks(located, ["_path"], ["node_key"]).row_number("_copy").result()
     stem = F.regexp_replace("_path", r"\.md\z", "")
     path = F.when(F.col("_copy") == 1, F.col("_path")).otherwise(F.concat(stem, F.lit("_"), F.col("_copy").cast("string"), F.lit(".md")))
-    return numbered.withColumn("path", path).drop("_folder", "_path", "_copy")
+    told = OrderedChunks(numbered.withColumn("_named", path), ["_named"], ["_copy", "node_key"]).row_number("_again").result()
+    hashed = F.concat("_folder", F.lit("/item_"), F.left(F.md5(F.concat_ws("/", "export_id", "node_key")), F.lit(16)), F.lit(".md"))
+    over = (F.col("_copy") > 1) & (F.octet_length("_named") > 250)
+    return told.withColumn("path", F.when((F.col("_again") > 1) | over, hashed).otherwise(F.col("_named"))).drop(
+        "_folder", "_path", "_copy", "_named", "_again")
 
 
 def _step(path: Column, name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkatlas.session import durable
 
-MAX_HOT_KEYS = 1000
+KEYLESS_BUCKETS = 4096
 
 
 def salted_join(
@@ -18,28 +18,24 @@ def salted_join(
     on: list[str],
     how: str,
     spread: list[str],
-    fanout: int = 32,
     hot_rows: int = 1_000_000,
     hash_build: bool = False,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may be skewed and whose right side is unique, or nearly so, per key.
 
-    Left keys of at least ``hot_rows`` rows are spread over ``fanout`` buckets by a hash of the
-    ``spread`` columns, and only their right rows are repeated per bucket. At most ``MAX_HOT_KEYS``
-    keys are spread, the largest first, so every other key holds less than 1/1000 of the left side;
-    that also bounds the broadcast. The rows that come out are those of the plain join. ``hash_build``
+    Left keys of over ``hot_rows`` rows are spread over as many buckets as their own count asks for, by a hash of the
+    ``spread`` columns, and only their right rows are repeated per bucket. So no bucket holds much more than ``hot_rows`` rows, and
+    there are fewer such keys than one for each ``hot_rows`` rows of the left side. Keys without a value are spread too. The rows that come out are those of the plain join. ``hash_build``
     is for narrow, unique right sides: their share per task is small, so a hash table saves both sorts.
     ``sizes``, the left rows per key as ``count``, saves the pass over the keys where it is known.
     """
-    counted = (left.groupBy(*on).count() if sizes is None else sizes).filter(F.col("count") >= hot_rows)
-    hot = counted.orderBy(F.col("count").desc(), *on).limit(MAX_HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int")
+    counted = (left.groupBy(*on).count() if sizes is None else sizes).filter(F.col("count") > hot_rows)
+    hot = counted.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_hot"))
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    spread_left = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, bucket).otherwise(F.lit(0))
-    ).drop("_hot")
-    buckets = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
+    fan = F.coalesce("_hot", F.when(no_key, KEYLESS_BUCKETS).otherwise(1))
+    spread_left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), fan).cast("int")).drop("_hot")
+    buckets = F.sequence(F.lit(0), F.coalesce("_hot", F.lit(1)) - 1)
     repeated = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(buckets)).drop("_hot")
     if hash_build:
         repeated = repeated.hint("shuffle_hash")

@@ -23,7 +23,8 @@ from linkatlas.sources.exports import field, is_list, is_object
 SECTIONS = [("bookmark_bar", "Bookmark Bar"), ("other", "Other"), ("synced", "Mobile")]
 TOP = "Root"
 UNTITLED = "Untitled"
-PAD = 9
+# Digits of an ordinal in a key: as many as the largest long has, so that none is cut.
+PAD = 19
 TOP_KEY = "R"
 NODE_COLUMNS = ["export_id", "node_key", "parent_key", "kind", "title", "url", "date_added", "ordinal", "depth",
                 "folder_path"]

@@ -33,11 +33,11 @@ def compatible_runs(spark, sf_dir):
     return L.compatible(ledger(spark, sf_dir), runs(spark, sf_dir), "bookmarks.json", "settings-1").select(*SHOWN)
 
 
-@query("l2_first_per_url", f"""WITH {NODES_CTE}, plain AS (SELECT export_id, node_key, title, regexp_replace(url, '^.*/([a-z]*)/[0-9]*.*$', '\\1') || '@' || split_part(url, '/', 3) AS url FROM nodes WHERE kind = 'url')
+@query("l2_first_per_url", f"""WITH {NODES_CTE}, plain AS (SELECT export_id, node_key, title, regexp_replace(url, '[?#].*$', '') AS url FROM nodes WHERE kind = 'url')
 SELECT url, export_id, node_key, title, copies FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY export_id, node_key) AS rn, count(*) OVER (PARTITION BY url) AS copies FROM plain) WHERE rn = 1""")
 def first_per_url(spark, sf_dir):
-    """Links repeat once their number and query are cut off: the first one in processing order stays."""
-    short = F.concat(F.split_part("url", F.lit("/"), F.lit(4)), F.lit("@"), F.split_part("url", F.lit("/"), F.lit(3)))
+    """Links are compared without query and fragment: the first one in processing order stays."""
+    short = F.regexp_replace("url", "[?#].*$", "")
     plain = bookmarks(spark, sf_dir).select("export_id", "node_key", "title", short.alias("url"))
     return L.first_per_url(plain).select("url", "export_id", "node_key", "title", "copies")
 

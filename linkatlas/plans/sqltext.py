@@ -46,7 +46,7 @@ def path_name(name: str, parent: str, limit: int, folder: bool) -> str:
     cut = f"CASE WHEN strlen({sane}) <= {budget} THEN {sane} ELSE try(decode(array_slice(encode({sane}), 1, {budget}))) END"
     named = f"CASE WHEN ({cut}) = '' THEN 'unnamed' ELSE ({cut}) END"
     return (
-        f"CASE WHEN coalesce({name}, '') = '' THEN 'unnamed' WHEN {budget} <= 0 OR ({cut}) IS NULL THEN {hashed(name)} "
+        f"CASE WHEN coalesce({name}, '') = '' THEN 'unnamed' WHEN {budget} <= 0 OR ({cut}) IS NULL OR {sane} IN ('.', '..') THEN {hashed(name)} "
         f"WHEN {parent} <> '' AND strlen({named}) > {budget} THEN {hashed(name)} ELSE {named} END"
     )
 

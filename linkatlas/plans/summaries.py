@@ -12,7 +12,7 @@ from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
 from linkatlas.plans.pages import NO_CONTENT, NO_TEXT, gated
 from linkatlas.plans.registry import query
-from linkatlas.sources.tables import spread, table
+from linkatlas.sources.tables import table
 
 TEMPLATE = "Title: {title}\nText: {content}\n--"
 
@@ -35,7 +35,7 @@ summaries AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS summary FROM best
 
 @query("p2_extractive_summaries", f"WITH {SENTENCES_SQL} SELECT d.doc_id, summary FROM documents d LEFT JOIN summaries USING (doc_id)")
 def extractive_summaries(spark, sf_dir):
-    return S.extractive_summaries(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
+    return S.extractive_summaries(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def first_words(batches):
@@ -98,7 +98,7 @@ BODY_SQL = "'---' || chr(10) || front || chr(10) || '---' || chr(10) || chr(10)
 
 def summaries(spark, sf_dir):
     """Pages with their readable text in the place of the summary; times stay without zone."""
-    text = H.with_text(spread(table(spark, sf_dir, "pages"), "page_id"), out="summary")
+    text = H.with_text(table(spark, sf_dir, "pages"), out="summary")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return text.select(
         "page_id", "url", "summary", H.page_title(F.col("html")).alias("title"), F.lit("success").alias("status"),
@@ -139,25 +139,24 @@ def output_folders(spark, sf_dir):
     return R.output_folders(nodes(spark, sf_dir), LONG_BASE)
 
 
-DOC_PATHS_SQL = f"""{_folder_ctes("'/out/' || export_id")}, short AS (SELECT *, left(title, 6) AS t FROM lvl4 WHERE kind = 'url'),
-files AS (SELECT export_id, node_key, url, p4 || '/' || ({Q.path_name('t', 'p4', 250, False)}) AS stem FROM short),
-copies AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY node_key) AS copy FROM files)"""
+DOC_PATHS_SQL = f"""{_folder_ctes("'/out/' || export_id")}, files AS (SELECT export_id, node_key, url, p4, p4 || '/' || ({Q.path_name('title', 'p4', 250, False)}) AS stem FROM lvl4 WHERE kind = 'url'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY node_key) AS copy FROM files),
+named AS (SELECT *, stem || CASE WHEN copy = 1 THEN '' ELSE '_' || copy END || '.md' AS named FROM numbered),
+copies AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY named ORDER BY copy, node_key) > 1 OR (copy > 1 AND strlen(named) > 250) THEN p4 || '/item_' || left(md5(export_id || '/' || node_key), 16) || '.md' ELSE named END AS path FROM named)"""
 
 
-@query("x9_document_paths", f"WITH {NODES_CTE}, {DOC_PATHS_SQL} SELECT export_id, node_key, stem || CASE WHEN copy = 1 THEN '' ELSE '_' || copy END || '.md' AS path FROM copies")
+@query("x9_document_paths", f"WITH {NODES_CTE}, {DOC_PATHS_SQL} SELECT export_id, node_key, path FROM copies")
 def document_paths(spark, sf_dir):
-    """Titles cut to six characters, so that some collide."""
-    short = bookmarks(spark, sf_dir).withColumn("title", F.substring("title", 1, 6))
-    return R.document_paths(short, "/out").select("export_id", "node_key", "path")
+    return R.document_paths(bookmarks(spark, sf_dir), "/out").select("export_id", "node_key", "path")
 
 
 @query("s7_documents", f"""WITH {SUMMARIES_SQL}, {NODES_CTE}, {DOC_PATHS_SQL}
-SELECT stem || CASE WHEN copy = 1 THEN '' ELSE '_' || copy END || '.md' AS path, md5({BODY_SQL}) AS body_md5 FROM copies JOIN fronts USING (url)""")
+SELECT path, md5({BODY_SQL}) AS body_md5 FROM copies JOIN fronts USING (url)""")
 def documents(spark, sf_dir):
     """One document per bookmark: its path and its rendered page. Each page is rendered once, then joined."""
     body = R.markdown(F.col("url"), F.col("title"), F.col("summary"), _front())
     rendered = summaries(spark, sf_dir).select("url", F.md5(body).alias("body_md5"))
-    paths = R.document_paths(bookmarks(spark, sf_dir).withColumn("title", F.substring("title", 1, 6)), "/out").select("path", "url", "node_key")
+    paths = R.document_paths(bookmarks(spark, sf_dir), "/out").select("path", "url", "node_key")
     return salted_join(paths, rendered, ["url"], "inner", ["node_key"]).select("path", "body_md5")
 
 
@@ -174,7 +173,7 @@ def assemble_outcomes(spark, sf_dir):
 
     The text is read once per page; only then it is joined to the bookmarks, of which many may share a page.
     """
-    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    pages = table(spark, sf_dir, "pages")
     html = (F.when(F.col("page_id") % 7 == 0, "").when(F.col("page_id") % 7 == 1, F.replace(F.col("html"), F.lit("<article>"), F.lit("<main></main><article>")))
             .otherwise(F.col("html")))
     fetched = pages.withColumn("html", F.when(F.col("page_id") % 10 != 9, html))

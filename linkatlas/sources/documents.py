@@ -24,7 +24,9 @@ def write_document_files(documents: DataFrame, root: str) -> None:
 
         for batch in batches:
             for name, body in zip(batch["path"], batch["body"]):
-                target = os.path.join(root, name.lstrip("/"))
+                target = os.path.normpath(os.path.join(root, name.lstrip("/")))
+                if not target.startswith(os.path.normpath(root) + os.sep):
+                    raise ValueError(f"path outside the folder: {name}")
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 part = f"{target}.{uuid.uuid4().hex}"
                 with open(part, "w", encoding="utf-8") as f:

@@ -21,7 +21,7 @@ def test_salted_joins(spark):
     left = skewed(spark).withColumn("k", F.when(F.col("id") % 7 != 0, F.col("k")))
     right = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     for how in ("left", "inner", "left_semi", "left_anti"):
-        got = salted_join(left, right, ["k"], how, ["id"], fanout=4, hot_rows=100)
+        got = salted_join(left, right, ["k"], how, ["id"], hot_rows=100)
         want = left.join(right, ["k"], how)
         assert same(got.select(*want.columns), want), how
 
