@@ -141,8 +141,8 @@ def output_folders(spark, sf_dir):
 
 DOC_PATHS_SQL = f"""{_folder_ctes("'/out/' || export_id")}, files AS (SELECT export_id, node_key, url, p4, p4 || '/' || ({Q.path_name('title', 'p4', 250, False)}) AS stem FROM lvl4 WHERE kind = 'url'),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY node_key) AS copy FROM files),
-named AS (SELECT *, stem || CASE WHEN copy = 1 THEN '' ELSE '_' || copy END || '.md' AS named FROM numbered),
-copies AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY named ORDER BY copy, node_key) > 1 OR (copy > 1 AND strlen(named) > 250) THEN p4 || '/item_' || left(md5(export_id || '/' || node_key), 16) || '.md' ELSE named END AS path FROM named)"""
+spelled AS (SELECT *, stem || CASE WHEN copy = 1 THEN '' ELSE '_' || copy END || '.md' AS named FROM numbered),
+copies AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY named ORDER BY copy, node_key) > 1 OR (copy > 1 AND strlen(named) > 250) THEN p4 || '/item_' || left(md5(export_id || '/' || node_key), 16) || '.md' ELSE named END AS path FROM spelled)"""
 
 
 @query("x9_document_paths", f"WITH {NODES_CTE}, {DOC_PATHS_SQL} SELECT export_id, node_key, path FROM copies")
