@@ -221,7 +221,7 @@ def progress(ledger: DataFrame, by: str = "run_id", order: list[str] | None = No
     """How far each run was at each record: share done, elapsed seconds and the estimate for the rest."""
     chunks = OrderedChunks(ledger, [by], order or ["us", "url"]).row_number("done").result()
     totals = ledger.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.min("us").alias("start_us"))
-    told = salted_join(chunks, totals, [by], "inner", ["us", "url"])
+    told = salted_join(chunks, totals, [by], "inner", ["us", "url"], sizes=totals.select(by, F.col("total").alias("count")))
     elapsed = (F.col("us") - F.col("start_us")) / F.lit(1e6)
     return (
         told.withColumn("percent", percentage(F.col("done"), F.col("total")))

@@ -20,21 +20,25 @@ from linkatlas.sources.tables import table
 PAGES_PER_EXPORT = 25
 
 
-def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as saved links: title, host, section, language; the markup itself is left behind."""
+def link_pages(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
+    """Pages as saved links: title, host, section, language; the markup itself is left behind.
+
+    Only the title comes out of the markup: with ``titled=False`` it is null, and the scan leaves the pages' text unread.
+    """
     host = extract_domain(F.col("url"))
     section = (
         F.when(F.endswith(host, F.lit(".com")), 0).when(F.endswith(host, F.lit(".org")), 2).otherwise(1)
     )
+    title = page_title(F.col("html")) if titled else F.lit(None).cast("string")
     return table(spark, sf_dir, "pages").select(
-        "page_id", "url", page_title(F.col("html")).alias("title"), host.alias("host"), section.alias("section_rank"),
+        "page_id", "url", title.alias("title"), host.alias("host"), section.alias("section_rank"),
         F.split_part("url", F.lit("/"), F.lit(4)).alias("lang"),
         F.concat(F.lit("x"), F.lpad(F.floor(F.col("page_id") / PAGES_PER_EXPORT).cast("string"), PAD, "0")).alias("export_id"),
         F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("page_id") * 61_000_003).alias("date_added"),
     )
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
     """Folder tree Root / section / host / language / page, one tree per export of 25 pages.
 
     An export has at most 25 pages, so the ranks inside it never meet a large group; one shuffle by
@@ -45,7 +49,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     label = F.when(F.col("section_rank") == 0, "Bookmark Bar").when(F.col("section_rank") == 1, "Other").otherwise("Mobile")
     ranked = (
-        link_pages(spark, sf_dir).repartition("export_id")
+        link_pages(spark, sf_dir, titled).repartition("export_id")
         .withColumn("so", rank([], "section_rank"))
         .withColumn("ho", rank(["section_rank"], "host"))
         .withColumn("lo", rank(["section_rank", "host"], "lang"))
@@ -80,13 +84,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("export_id", F.inline(rows)).dropDuplicates(["export_id", "node_key"]).select(*NODE_COLUMNS)
 
 
-def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_nodes(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
     """``nodes`` written once, for operators that read the table several times."""
-    return durable(nodes(spark, sf_dir))
+    return durable(nodes(spark, sf_dir, titled))
 
 
-def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).filter(F.col("kind") == "url")
+def bookmarks(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
+    return nodes(spark, sf_dir, titled).filter(F.col("kind") == "url")
 
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,15 +205,15 @@ redirects AS (
   FROM pages)"""
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run ledger: one record per fetch, about sixteen records per link over the days of the log.
+def ledger(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
+    """Run ledger: one record per fetch, about sixteen records per link over the days of the log. Untitled, it reads no markup.
 
     A fetch that succeeded at the third try or later is taken as processed with an error.
     """
     ends = final_outcomes(attempts(spark, sf_dir), ["url_id", "episode"]).withColumn(
         "link", F.floor((F.col("episode") * 50 + F.col("url_id")) / 16)
     )
-    known = link_pages(spark, sf_dir).select(F.col("page_id").alias("link"), "url", "title")
+    known = link_pages(spark, sf_dir, titled).select(F.col("page_id").alias("link"), "url", "title")
     return ends.join(known, "link", "left").select(
         F.concat(F.lit("run-"), F.date_format("ts", "yyyyMMdd")).alias("run_id"),
         F.coalesce("url", F.concat(F.lit("https://gone.example.org/"), F.col("link").cast("string"))).alias("url"),

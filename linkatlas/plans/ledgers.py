@@ -12,6 +12,7 @@ from linkatlas.operators.tree import subtree_sums
 from linkatlas.plans.derive import NODES_CTE, PAGES_CTE, bookmarks, ledger, ledger_cte, runs, stored_nodes
 from linkatlas.plans.fetches import OUTCOMES_CTE
 from linkatlas.plans.registry import query
+from linkatlas.session import durable
 from linkatlas.sources.ledger_store import load_ledger, save_ledger
 
 LEDGER = ledger_cte(OUTCOMES_CTE)
@@ -27,6 +28,14 @@ def ledger_round_trip(spark, sf_dir):
     return load_ledger(spark, save_ledger(ledger(spark, sf_dir))).select(*SHOWN)
 
 
+@query("s5_saved_twice", f"WITH {LEDGER} SELECT {SHOWN_SQL} FROM ledger")
+def saved_twice(spark, sf_dir):
+    """A run saved a second time takes the place of its first copy."""
+    rows = durable(ledger(spark, sf_dir))
+    path = save_ledger(rows)
+    return load_ledger(spark, save_ledger(rows, path)).select(*SHOWN)
+
+
 @query("l1_compatible_runs", f"""WITH {LEDGER} SELECT {", ".join("l." + c for c in SHOWN)} FROM ledger l JOIN runs r ON r.run_id = l.run_id
 WHERE r.version = '1.0' AND r.source = 'bookmarks.json' AND r.config_hash = 'settings-1'""")
 def compatible_runs(spark, sf_dir):
@@ -45,20 +54,20 @@ def first_per_url(spark, sf_dir):
 @query("l3_skip_done", f"""WITH {BOTH} SELECT export_id, node_key, url FROM bookmarks b
 WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.url = b.url AND l.outcome = 'processed' AND l.error IS NULL)""")
 def skip_done(spark, sf_dir):
-    left = bookmarks(spark, sf_dir).select("export_id", "node_key", "url")
-    return salted_join(left, L.done_urls(ledger(spark, sf_dir)), ["url"], "left_anti", ["export_id", "node_key"])
+    left = bookmarks(spark, sf_dir, titled=False).select("export_id", "node_key", "url")
+    return salted_join(left, L.done_urls(ledger(spark, sf_dir, titled=False)), ["url"], "left_anti", ["export_id", "node_key"])
 
 
 @query("l4_retry_errors", f"""WITH {BOTH} SELECT export_id, node_key, url FROM bookmarks b
 WHERE EXISTS (SELECT 1 FROM ledger l WHERE l.url = b.url AND (l.outcome = 'failed' OR l.error IS NOT NULL))""")
 def retry_errors(spark, sf_dir):
-    left = bookmarks(spark, sf_dir).select("export_id", "node_key", "url")
-    return salted_join(left, L.failed_urls(ledger(spark, sf_dir)), ["url"], "left_semi", ["export_id", "node_key"])
+    left = bookmarks(spark, sf_dir, titled=False).select("export_id", "node_key", "url")
+    return salted_join(left, L.failed_urls(ledger(spark, sf_dir, titled=False)), ["url"], "left_semi", ["export_id", "node_key"])
 
 
 @query("l5_error_urls", f"""WITH {LEDGER} SELECT url FROM ledger WHERE outcome = 'failed' UNION SELECT url FROM ledger WHERE outcome = 'processed' AND error IS NOT NULL""")
 def error_urls(spark, sf_dir):
-    return L.failed_urls(ledger(spark, sf_dir))
+    return L.failed_urls(ledger(spark, sf_dir, titled=False))
 
 
 # Bookmarks of folders that end in the language "en" and stand before place 1 are behind the cursor.
@@ -78,7 +87,7 @@ DECISIONS = {
 
 def _plan(mode, dry_run, with_cursor):
     def run(spark, sf_dir):
-        plan = L.plan_run(bookmarks(spark, sf_dir), L.latest_state(ledger(spark, sf_dir)), mode, dry_run,
+        plan = L.plan_run(bookmarks(spark, sf_dir, titled=False), L.latest_state(ledger(spark, sf_dir, titled=False)), mode, dry_run,
                           CURSOR if with_cursor else None, suffix=True)
         return plan.select("export_id", "node_key", "url", "decision")
 
@@ -95,7 +104,7 @@ for _name, (_mode, _dry, _case) in DECISIONS.items():
 def resume_cursor(spark, sf_dir):
     path, place = F.col("folder_path"), F.col("ordinal")
     exact = (["Root", "Bookmark Bar", "blog.tionsh.example.com", "en"], 2)
-    return bookmarks(spark, sf_dir).select(
+    return bookmarks(spark, sf_dir, titled=False).select(
         "export_id", "node_key", (~L.before_cursor(path, place, exact)).alias("ahead_exact"),
         (~L.before_cursor(path, place, CURSOR, suffix=True)).alias("ahead_suffix"))
 
@@ -128,8 +137,8 @@ def remove_failed(spark, sf_dir):
 @query("l10_append_records", f"""WITH {BOTH}, {STATE_SQL}, added AS (SELECT url FROM known WHERE NOT done AND NOT failed)
 SELECT run_id, url, outcome, count(*) AS n FROM (SELECT run_id, url, outcome FROM ledger UNION ALL SELECT 'next', url, 'processed' FROM added) GROUP BY ALL""")
 def append_records(spark, sf_dir):
-    rows = ledger(spark, sf_dir)
-    plan = L.plan_run(bookmarks(spark, sf_dir), L.latest_state(rows))
+    rows = ledger(spark, sf_dir, titled=False)
+    plan = L.plan_run(bookmarks(spark, sf_dir, titled=False), L.latest_state(rows))
     new = plan.filter(F.col("decision") == "process").select(F.lit("next").alias("run_id"), "url", "title", F.lit("processed").alias("outcome"))
     return L.append_records(rows, new).groupBy("run_id", "url", "outcome").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
@@ -139,7 +148,7 @@ def append_records(spark, sf_dir):
   count(DISTINCT url) FILTER (outcome = 'processed') AS links_processed, count(DISTINCT url) FILTER (outcome = 'failed') AS links_failed,
   strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS start_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts FROM ledger GROUP BY 1""")
 def run_statistics(spark, sf_dir):
-    stats = L.run_statistics(ledger(spark, sf_dir))
+    stats = L.run_statistics(ledger(spark, sf_dir, titled=False))
     return stats.withColumn("start_ts", iso_text(F.col("start_ts"))).withColumn("last_ts", iso_text(F.col("last_ts")))
 
 
@@ -147,7 +156,7 @@ def run_statistics(spark, sf_dir):
   count(*) FILTER (done OR failed) AS skipped FROM known""")
 def plan_statistics(spark, sf_dir):
     """The count of skipped links that a run really has."""
-    plan = L.plan_run(bookmarks(spark, sf_dir), L.latest_state(ledger(spark, sf_dir)))
+    plan = L.plan_run(bookmarks(spark, sf_dir, titled=False), L.latest_state(ledger(spark, sf_dir, titled=False)))
     return plan.agg(F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(F.col("decision") == "process").cast("bigint").alias("to_process"),
                     F.count_if(F.col("decision") != "process").cast("bigint").alias("skipped"))
 
@@ -157,19 +166,19 @@ def plan_statistics(spark, sf_dir):
 SELECT run_id, url, us, done, total, done * 100.0::DOUBLE / total AS percent, elapsed,
   CASE WHEN elapsed > 0 THEN (total - done) / (done / elapsed) END AS eta FROM steps""")
 def progress(spark, sf_dir):
-    return L.progress(ledger(spark, sf_dir).select("run_id", "url", "us"))
+    return L.progress(ledger(spark, sf_dir, titled=False).select("run_id", "url", "us"))
 
 
 @query("l13_folder_outcomes", f"""WITH {BOTH}, {LATEST_SQL}, told AS (SELECT b.export_id, b.node_key, coalesce(s.outcome, 'absent') AS outcome FROM bookmarks b LEFT JOIN latest s ON s.url = b.url)
 SELECT f.export_id, f.node_key, count(*) FILTER (t.outcome = 'processed') AS processed, count(*) FILTER (t.outcome = 'failed') AS failed
 FROM nodes f LEFT JOIN told t ON t.export_id = f.export_id AND starts_with(t.node_key, f.node_key || '/') WHERE f.kind = 'folder' GROUP BY 1, 2""")
 def folder_outcomes(spark, sf_dir):
-    state = L.latest_state(ledger(spark, sf_dir)).select("url", "outcome")
-    told = salted_join(stored_nodes(spark, sf_dir), state, ["url"], "left", ["export_id", "node_key"])
+    state = L.latest_state(ledger(spark, sf_dir, titled=False)).select("url", "outcome")
+    told = salted_join(stored_nodes(spark, sf_dir, titled=False), state, ["url"], "left", ["export_id", "node_key"])
     return subtree_sums(told, {k: F.when(F.col("outcome") == k, 1).otherwise(0) for k in ("processed", "failed")})
 
 
 @query("l13_host_outcome_cube", f"""WITH {LEDGER} SELECT split_part(url, '/', 3) AS host, outcome, count(*) AS n FROM ledger GROUP BY CUBE (host, outcome)""")
 def host_outcome_cube(spark, sf_dir):
-    per_host = ledger(spark, sf_dir).groupBy(extract_domain(F.col("url")).alias("host"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    per_host = ledger(spark, sf_dir, titled=False).groupBy(extract_domain(F.col("url")).alias("host"), "outcome").agg(F.count(F.lit(1)).alias("n"))
     return per_host.cube("host", "outcome").agg(F.sum("n").cast("bigint").alias("n"))

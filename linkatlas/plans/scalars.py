@@ -69,7 +69,7 @@ paths AS (SELECT export_id, node_key, '/out/' || path || CASE kind WHEN 'url' TH
 def _paths(spark, sf_dir):
     path = F.array_join("folder_path", "/")
     tail = F.when(F.col("kind") == "url", F.concat(F.lit("/../"), F.col("ordinal").cast("string"))).otherwise(F.lit("/./x"))
-    return nodes(spark, sf_dir).select("export_id", "node_key", F.concat(F.lit("/out/"), path, tail).alias("p"), path.alias("path"))
+    return nodes(spark, sf_dir, titled=False).select("export_id", "node_key", F.concat(F.lit("/out/"), path, tail).alias("p"), path.alias("path"))
 
 
 @query("u5_safe_path", f"""WITH {NODES_CTE}, {PATHS_SQL}

@@ -136,7 +136,7 @@ def rejected(spark, sf_dir):
 @query("t6_folder_paths", f"""WITH {NODES_CTE}
 SELECT export_id, node_key, path, (length(path) - length(replace(path, '/', '')) + 1)::INTEGER AS levels FROM nodes""")
 def folder_paths(spark, sf_dir):
-    return nodes(spark, sf_dir).select(
+    return nodes(spark, sf_dir, titled=False).select(
         "export_id", "node_key", F.array_join("folder_path", "/").alias("path"), F.size("folder_path").alias("levels"))
 
 
@@ -144,7 +144,7 @@ def folder_paths(spark, sf_dir):
 SELECT export_id, node_key, row_number() OVER (PARTITION BY export_id ORDER BY node_key) AS processing,
   row_number() OVER (PARTITION BY export_id ORDER BY translate(node_key, 'bf', 'fb')) AS outline FROM nodes""")
 def visit_orders(spark, sf_dir):
-    all_nodes = stored_nodes(spark, sf_dir).select("export_id", "node_key")
+    all_nodes = stored_nodes(spark, sf_dir, titled=False).select("export_id", "node_key")
     one = T.visit_order(all_nodes, "processing").withColumnRenamed("position", "processing")
     two = T.visit_order(all_nodes, "outline").withColumnRenamed("position", "outline")
     return one.join(two, ["export_id", "node_key"])
@@ -155,7 +155,7 @@ SELECT f.export_id, f.node_key, count(b.node_key) AS bookmarks FROM nodes f
 LEFT JOIN nodes b ON b.export_id = f.export_id AND b.kind = 'url' AND starts_with(b.node_key, f.node_key || '/')
 WHERE f.kind = 'folder' GROUP BY 1, 2""")
 def subtree_counts(spark, sf_dir):
-    return T.subtree_counts(stored_nodes(spark, sf_dir))
+    return T.subtree_counts(stored_nodes(spark, sf_dir, titled=False))
 
 
 @query("t8_rollup_counts", """
@@ -180,7 +180,7 @@ def rollup_counts(spark, sf_dir):
 SELECT f.export_id, f.node_key, count(c.node_key) FILTER (c.kind = 'folder') AS folders, count(c.node_key) FILTER (c.kind = 'url') AS bookmarks
 FROM nodes f LEFT JOIN nodes c ON c.export_id = f.export_id AND c.parent_key = f.node_key WHERE f.kind = 'folder' GROUP BY 1, 2""")
 def child_counts(spark, sf_dir):
-    return T.child_counts(stored_nodes(spark, sf_dir))
+    return T.child_counts(stored_nodes(spark, sf_dir, titled=False))
 
 
 @query("t10_fold", f"""WITH {NODES_CTE}

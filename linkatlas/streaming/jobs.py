@@ -95,47 +95,47 @@ def streamed_admissions(stream: DataFrame, key: str, us: str, tie: str, quota: i
         return drained(admitted).select(F.col("key").alias(key), F.col("tie").alias(tie), "admitted_us")
 
 
+# Fixed value: the outcome of a fetch without a terminal answer.
+OPEN = "retries_exhausted"
+
+
 class RetryState(StatefulProcessor):
-    """Attempts of one fetch so far. Emits the outcome once: at the first terminal class, when the attempts
-    are used up, or when the log falls silent for ``expiry_ms``; then the state is forgotten."""
+    """Attempts of one fetch so far. Each micro-batch that brings some emits the outcome as it then stands, so a fetch
+    still open when the log ends is told too; the state is forgotten when the log falls silent for ``expiry_ms``."""
 
     def __init__(self, retries: int, expiry_ms: int):
         self.retries, self.expiry_ms = retries, expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        fields = [StructField("tries", IntegerType()), StructField("done", IntegerType()), StructField("error", StringType())]
+        fields = [StructField("tries", IntegerType()), StructField("done", IntegerType()), StructField("error", StringType()),
+                  StructField("final", StringType())]
         self.state = handle.getValueState("fetch", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get()
-        tries, done, error = known or (0, 0, None)
+        tries, done, error, final = known or (0, 0, None, OPEN)
         arrived = pd.concat(list(rows)).sort_values(["attempt", "us"], kind="stable")
-        final = None
         for row in arrived.itertuples():
             if done or row.attempt > self.retries:
                 continue
             tries, error = row.attempt + 1, row.detail
             if row.outcome_class in TERMINAL:
                 final, done = row.outcome_class, 1
-            elif tries > self.retries:
-                final, done = "retries_exhausted", 1
-        self.state.update((int(tries), int(done), error))
+        self.state.update((int(tries), int(done), error, final))
         for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(arrived["us"].max() // 1000) + self.expiry_ms)
-        if final is not None:
+        if tries:
             yield self._row(key, final, tries, error)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.state.get() or (0, 1, None)
         self.state.clear()
-        if not known[1]:
-            yield self._row(key, "retries_exhausted", known[0], known[2])
+        return iter(())
 
     @staticmethod
     def _row(key, final, tries, error):
-        shown = None if final == OK else error if final == "retries_exhausted" else final
+        shown = None if final == OK else error if final == OPEN else final
         return pd.DataFrame({"url_id": [key[0]], "episode": [key[1]], "final_class": [final], "tries": [tries],
                              "outcome": ["processed" if final == OK else "failed"], "error": [shown]})
 
@@ -144,7 +144,7 @@ class RetryState(StatefulProcessor):
 
 
 def streamed_outcomes(stream: DataFrame, delay: str, retries: int = RETRIES, expiry_hours: int = 168) -> DataFrame:
-    """Final outcome per fetch ``(url_id, episode)`` from a live attempt log."""
+    """Outcome per fetch ``(url_id, episode)`` from a live attempt log: its last update, so open fetches show what they came to so far."""
     shaped = stream.select(
         "url_id", "episode", "attempt", "us", event_time().alias("_ts"),
         outcome_class(F.col("status"), F.col("location"), F.col("bytes")).alias("outcome_class"),
@@ -154,4 +154,4 @@ def streamed_outcomes(stream: DataFrame, delay: str, retries: int = RETRIES, exp
     with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
         told = shaped.withWatermark("_ts", delay).groupBy("url_id", "episode").transformWithStateInPandas(
             RetryState(retries, expiry_hours * 3_600_000), out, "Append", "EventTime")
-        return drained(told).drop("batch")
+        return latest_update(drained(told), ["url_id", "episode"], ["final_class", "tries", "outcome", "error"])

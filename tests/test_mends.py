@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkatlas.functions.sql import register_python_functions
@@ -10,6 +11,7 @@ from linkatlas.operators.ledger import _json_scalar
 from linkatlas.operators.render import document_paths
 from linkatlas.operators.skew import salted_join
 from linkatlas.operators.tree import child_key
+from linkatlas.plans import catalog
 
 
 def test_large_ordinals_stay_apart(spark):
@@ -45,3 +47,10 @@ def test_salt_follows_the_count(spark):
     left = spark.range(5000).selectExpr("IF(id % 3 = 0, id, 7) AS k", "id")
     right = spark.createDataFrame([(7, "x"), (9, "y")], "k bigint, v string")
     assert salted_join(left, right, ["k"], "inner", ["id"], hot_rows=100).count() == left.join(right, "k").count()
+
+
+@pytest.mark.parametrize("name", ["t6_folder_paths", "u5_safe_path", "u6_relative_path", "u7_dry_run", "u7_dry_run_resume", "l3_skip_done", "l4_retry_errors",
+                                  "l6_plan_normal", "l6_plan_resume", "l7_resume_cursor", "l11_plan_statistics", "l11_run_statistics"])
+def test_markup_is_not_scanned(spark, small, name):
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "html" not in plan

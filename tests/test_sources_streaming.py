@@ -10,7 +10,7 @@ from linkatlas.operators import fetchlog as L
 from linkatlas.plans.derive import shape_attempts
 from linkatlas.sources import documents as D
 from linkatlas.sources import exports as S
-from linkatlas.sources.ledger_store import load_ledger, save_ledger
+from linkatlas.sources.ledger_store import clear_ledger, load_ledger, save_ledger
 from linkatlas.streaming import jobs as J
 from linkatlas.streaming.runtime import drain, read_sink, stream_table
 
@@ -51,6 +51,15 @@ def test_ledger_store_appends_runs(spark, tmp_path):
     assert sorted(r["run_id"] for r in load_ledger(spark, path).collect()) == ["1", "2"]
 
 
+def test_ledger_store_replaces_and_clears_runs(spark, tmp_path):
+    path, shape = str(tmp_path / "ledger"), "run_id string, url string, outcome string"
+    save_ledger(spark.createDataFrame([("1", "u", "failed"), ("1", "v", "failed"), ("2", "u", "processed")], shape), path)
+    save_ledger(spark.createDataFrame([("1", "u", "processed")], shape), path)
+    assert rows(load_ledger(spark, path), "run_id", "url", "outcome") == [("1", "u", "processed"), ("2", "u", "processed")]
+    left = clear_ledger(spark, path, spark.createDataFrame([("1",), ("9",)], "run_id string"))
+    assert rows(load_ledger(spark, left), "run_id", "url") == [("2", "u")]
+
+
 @pytest.fixture
 def split_events(spark, small, tmp_path):
     """The events in four files by time, so that a stream takes four micro-batches."""
@@ -98,6 +107,20 @@ def test_silent_fetch_expires(spark, tmp_path):
     assert rows(got, "url_id", "final_class", "tries", "error") == [(1, "retries_exhausted", 1, "HTTP 503"), (2, "ok", 1, None)]
 
 
+def test_open_fetches_are_told(spark, split_events, tmp_path):
+    """The log ends inside its episodes: each has had two of four attempts."""
+    path = str(tmp_path / "cut.parquet")
+    events = spark.read.parquet(split_events)
+    for i in range(2):
+        part = events.filter(f"event_id % 200 < 100 and floor(event_id / 50) % 2 = {i}")
+        part.coalesce(1).write.mode("append").parquet(path)
+    batch = L.final_outcomes(shape_attempts(spark.read.parquet(path)), ["url_id", "episode"])
+    live = J.streamed_outcomes(attempts(spark, path), "60 days")
+    cols = ["url_id", "episode", "final_class", "tries", "outcome", "error"]
+    assert rows(live, *cols) == rows(batch, *cols)
+    assert live.filter("final_class = 'retries_exhausted'").count() > 0
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     path = str(tmp_path / "e.parquet")
     # Lateness is judged by the watermark of the batch before, hence two batches in between.
