@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from linkatlas.llm.text import batches, texts
 
 CACHED = 300_000
+LONGEST_KEPT = 64
 SHORT = 256
 NEVER = 1 << 60
 # Beyond the Latin letters, libraries differ in the Unicode version they know, so whole words go to the library.
@@ -87,13 +88,15 @@ class RankArrayBpe:
 
 class _Memo(dict):
     """Results by key, in two generations of at most ``CACHED`` each: what the older one holds is taken over when
-    it is asked for again, the rest is forgotten, so that memory stays bounded and common words stay known."""
+    it is asked for again, the rest is forgotten, so that memory stays bounded and common words stay known. Long keys are never kept."""
 
     def __init__(self, make: Callable):
         super().__init__()
         self.make, self.older = make, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEPT:
+            return self.make(key)
         if len(self) >= CACHED:
             self.older = dict(self)
             self.clear()
@@ -157,7 +160,7 @@ class ByteEncoder:
         if plain:
             first, *rest = text.split(" ")
             return b"".join([self.head[first], *map(self.tail.__getitem__, rest)])
-        return b"".join(self._segment(s) if len(s) > 64 else self.head[s] for s in self.edge.split(text))
+        return b"".join(map(self.head.__getitem__, self.edge.split(text)))
 
     def decode(self, ids: bytes) -> str:
         if not self.ready:
@@ -204,7 +207,7 @@ class WordEncoder:
         """Ids as little-endian unsigned 32-bit integers. White space between words is dropped, so words are independent."""
         if not self.ready:
             self._open()
-        return b"".join([self.word[w] if len(w) <= 64 else self._word(w) for w in text.encode().split()]) if text else b""
+        return b"".join(map(self.word.__getitem__, text.encode().split())) if text else b""
 
 
 def _digests(encoder) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
