@@ -121,7 +121,7 @@ def resolve_failures(ledger: DataFrame, repaired: DataFrame) -> DataFrame:
 
 
 def remove_records(ledger: DataFrame, urls: DataFrame, ts: Column) -> DataFrame:
-    """Forget links, by appended tombstones."""
+    """Forget links, by tombstones appended at the time ``ts`` of the removal; a link that is recorded later is there again."""
     names = {f.name: f.dataType for f in ledger.schema}
     tombs = urls.select("url").distinct().select(*[
         F.col("url") if n == "url" else F.lit(REMOVED).alias(n) if n == "outcome" else ts.cast(t).alias(n) if n == "ts"

@@ -130,7 +130,7 @@ def repair_failures(spark, sf_dir):
 def remove_failed(spark, sf_dir):
     rows = ledger(spark, sf_dir)
     gone = L.latest_state(rows).filter(F.col("outcome") == "failed")
-    cleaned = L.remove_records(rows, gone, F.lit("9999-12-31 00:00:00"))
+    cleaned = L.remove_records(rows, gone, F.localtimestamp())
     return L.latest_state(cleaned).select(*SHOWN)
 
 

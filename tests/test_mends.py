@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkatlas.functions.sql import register_python_functions
 from linkatlas.functions.text import path_name
-from linkatlas.operators.ledger import _json_scalar
+from linkatlas.operators.ledger import _json_scalar, append_records, latest_state, remove_records
 from linkatlas.operators.render import document_paths
 from linkatlas.operators.skew import salted_join
 from linkatlas.operators.tree import child_key
@@ -54,3 +54,13 @@ def test_salt_follows_the_count(spark):
 def test_markup_is_not_scanned(spark, small, name):
     plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "html" not in plan
+
+
+def test_removed_link_returns(spark):
+    shape = "run_id string, url string, ts timestamp_ntz, outcome string, error string"
+    def record(run, day, outcome):
+        return spark.sql(f"SELECT '{run}' AS run_id, 'u' AS url, timestamp_ntz'2024-01-0{day}' AS ts, '{outcome}' AS outcome, NULL AS error").to(
+            spark.createDataFrame([], shape).schema)
+    gone = remove_records(record("1", 1, "failed"), record("1", 1, "failed"), F.lit("2024-01-02"))
+    assert latest_state(gone).count() == 0
+    assert [r["run_id"] for r in latest_state(append_records(gone, record("2", 3, "processed"))).collect()] == ["2"]
