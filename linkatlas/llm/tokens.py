@@ -26,6 +26,7 @@ LATIN_END = "\u024f"
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+ENDS = ".,;:!?)"
 # Characters that some reading takes for white space, besides the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 
@@ -87,17 +88,17 @@ class RankArrayBpe:
 
 
 class _Memo(dict):
-    """Results by key, in two generations of at most ``CACHED`` each: what the older one holds is taken over when
+    """Results by key, in two generations of at most ``kept`` each: what the older one holds is taken over when
     it is asked for again, the rest is forgotten, so that memory stays bounded and common words stay known. Long keys are never kept."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, kept: int = CACHED):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.kept, self.older = make, kept, {}
 
     def __missing__(self, key):
         if len(key) > LONGEST_KEPT:
             return self.make(key)
-        if len(self) >= CACHED:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         value = self.older.pop(key, None)
@@ -185,11 +186,13 @@ class WordEncoder:
         self.library = Tokenizer.from_str(self.source)
         self.model = self.library.model
         self.tokenize = self.model.tokenize
-        self.special = [t["content"].encode() for t in json.loads(self.source)["added_tokens"]]
+        special = [re.escape(t["content"].encode()) for t in json.loads(self.source)["added_tokens"]]
+        self.marked = re.compile(b"|".join(special) if special else rb"(?!)").search
         self.letters = byte_letters()
         self.split = regex.compile(WORD_PATTERN)
-        self.part = _Memo(self._part)
-        self.word = _Memo(self._word)
+        # A word of small letters is its own part, so parts need little room and words get the more.
+        self.part = _Memo(self._part, CACHED // 10)
+        self.word = _Memo(self._word, 2 * CACHED)
         self.ready = True
 
     def _part(self, part: str) -> bytes:
@@ -198,10 +201,15 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if any(s in word for s in self.special) or max(text) > LATIN_END:
+        if self.marked(word) or not text.isascii() and max(text) > LATIN_END:
             return packed_ids(self.library.encode(text, add_special_tokens=False).ids)
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-        return self.part[text] if text.isascii() and text.isalpha() else b"".join(map(self.part.__getitem__, self.split.findall(text)))
+        # Most words are letters alone, or letters and one closing mark; the pattern is asked about the others.
+        if text.isalpha():
+            return self._part(text) if (small := text.encode()) == word else self.word[small]
+        if text[:-1].isalpha() and text[-1] in ENDS:
+            return self.word[text[:-1].encode()] + self.part[text[-1]]
+        return b"".join(map(self.part.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. White space between words is dropped, so words are independent."""
