@@ -189,6 +189,11 @@ def limit_bytes(limit_mb: float | str | None) -> int:
         return int(DEFAULT_LIMIT_MB * MEGABYTE)
 
 
+def size_gated(df: DataFrame, html: str = "html", limit_mb: float | str | None = DEFAULT_LIMIT_MB) -> DataFrame:
+    """Pages over the size limit are turned away whole: their markup is null, as if nothing had come."""
+    return df.withColumn(html, F.when(F.octet_length(html) <= limit_bytes(limit_mb), F.col(html)))
+
+
 def staged_parts(df: DataFrame, html: str = "html") -> DataFrame:
     """The steps of the extraction as columns of their own, so that each is computed once."""
     return (

@@ -20,10 +20,10 @@ def from_1601(text: Column) -> Column:
 
 
 def from_1601_legacy(text: Column) -> Column:
-    """The wrong offset and divisor some ledgers were written with; for reading those only."""
-    micros = text.cast("string").try_cast("bigint")
-    seconds = (micros - F.lit(1_164_447_360_000)) / F.lit(100000.0)
-    return F.when(seconds.between(-62_135_596_800.0, 253_402_300_799.0), F.timestamp_seconds(seconds))
+    """The wrong offset and divisor some ledgers were written with, a hundred thousand units a second; for reading those only."""
+    units, gap = text.cast("string").try_cast("bigint"), 1_164_447_360_000
+    known = units.between(gap - 62_135_596_800 * 100_000, gap + 253_402_300_799 * 100_000)
+    return F.when(known, F.timestamp_micros((units - gap) * 10))
 
 
 def epoch_micros(ts: Column) -> Column:

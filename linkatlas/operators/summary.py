@@ -37,13 +37,15 @@ def prompt(template: str, max_tokens: int, **fields: Column) -> Column:
     return F.concat(*parts)
 
 
-def provided_summaries(prompts: DataFrame, provider: Provider, concurrency: int) -> DataFrame:
+def provided_summaries(prompts: DataFrame, provider: Provider, concurrency: int | None = None) -> DataFrame:
     """Run a batch provider over ``(url, prompt)``; it yields frames ``(url, content, error)``.
 
-    ``concurrency`` partitions call the provider at a time. Failures come back as rows.
+    The provider is called in the partitions as they come, without a shuffle. ``concurrency`` is for a service that bears only so
+    many callers: the prompts are then dealt evenly over that many partitions. Failures come back as rows.
     """
     shape = StructType([StructField(n, StringType()) for n in ("url", "content", "error")])
-    replies = prompts.select("url", "prompt").repartition(concurrency, "url").mapInPandas(provider, shape)
+    asked = prompts.select("url", "prompt")
+    replies = (asked if concurrency is None else asked.repartition(concurrency)).mapInPandas(provider, shape)
     return with_fallbacks(replies)
 
 

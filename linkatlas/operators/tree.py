@@ -23,6 +23,7 @@ from linkatlas.sources.exports import field, is_list, is_object
 SECTIONS = [("bookmark_bar", "Bookmark Bar"), ("other", "Other"), ("synced", "Mobile")]
 TOP = "Root"
 UNTITLED = "Untitled"
+TOO_DEEP = "rejected: nested too deep"
 # Digits of an ordinal in a key: as many as the largest long has, so that none is cut.
 PAD = 19
 TOP_KEY = "R"
@@ -114,7 +115,8 @@ def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame,
 
     One round per level. Every round is narrow: child lists are numbered inside their own row and
     exploded, nothing is shuffled. Only folders with children go to the next round, which starts from
-    a checkpoint, so no level is parsed twice. A tree deeper than ``max_depth`` is an error, never a cut.
+    a checkpoint, so no level is parsed twice. An export deeper than ``max_depth`` is turned away whole, never cut: it has
+    no nodes and one rejected row per folder that goes too deep.
     """
     top = docs.select(
         "export_id",
@@ -130,9 +132,7 @@ def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame,
     )
     nodes, rejected = top, None
     frontier = section_children(docs)
-    for depth in range(1, max_depth + 2):
-        if depth > max_depth:
-            raise ValueError(f"export nested deeper than {max_depth} levels")
+    for depth in range(1, max_depth + 1):
         level = durable(
             frontier.select("export_id", "parent_key", "parent_path", F.inline(ranked_children(F.col("children"))))
         )
@@ -164,7 +164,11 @@ def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame,
             F.concat("parent_path", F.array("title")).alias("parent_path"),
             F.transform("children", lambda c, i: _describe(c, F.lit(UNTITLED), i)).alias("children"),
         )
-    raise AssertionError("unreachable")
+    too_deep = frontier.select("export_id").distinct()
+    reasons = frontier.select("export_id", "parent_key", F.lit(0).alias("position"), F.element_at("parent_path", -1).alias("title"),
+                              F.lit(TOO_DEEP).alias("reason"), F.col("parent_path").alias("folder_path"))
+    whole, told = (part.join(too_deep, "export_id", "left_anti") for part in (nodes, rejected))
+    return whole, told.unionByName(reasons)
 
 
 def fold_exports(nodes: DataFrame) -> DataFrame:

@@ -189,6 +189,16 @@ def from_1601(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", times.iso_text(shown).alias("added"))
 
 
+@query("x12_from_1601_legacy", """
+SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE strftime(make_timestamp(event_id * 97000003 * 10), '%Y-%m-%dT%H:%M:%S.%f') END AS added FROM events""")
+def from_1601_legacy(spark, sf_dir):
+    """Times in the spelling of old ledgers, with a hundred thousand units a second, read back."""
+    units = (F.col("event_id") * 97_000_003 + 1_164_447_360_000).cast("string")
+    back = times.from_1601_legacy(F.when(F.col("event_type") == "error", F.concat(F.lit("~"), units)).otherwise(units))
+    shown = F.timestamp_add("MICROSECOND", F.unix_micros(back), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", times.iso_text(shown).alias("added"))
+
+
 @query("x13_format_duration", f"""WITH {ATTEMPTS_CTE}, gaps AS (
   SELECT event_id, (bytes / 4000.0)::DOUBLE AS seconds FROM attempts)
 SELECT event_id, CASE WHEN seconds < 60 THEN format('{{:.1f}} сек', seconds) WHEN seconds < 3600 THEN format('{{:.1f}} мин', seconds / 60.0::DOUBLE)

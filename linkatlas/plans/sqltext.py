@@ -51,18 +51,19 @@ def path_name(name: str, parent: str, limit: int, folder: bool) -> str:
     )
 
 
-def page_text_ctes(source: str = "pages", html: str = "html") -> str:
-    """CTEs ending in ``page_text(page_id, url, html, text)``."""
+def page_text_ctes(source: str = "pages", form: str = "") -> str:
+    """CTEs ending in ``page_text(page_id, url, html, text)``; ``form`` names a column of the source to carry along."""
+    keys = "page_id, url, " + (f"{form}, " if form else "")
     decoded = "regexp_replace(part, " + quoted(TAG) + ", '', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
         decoded = f"replace({decoded}, '{entity}', '{char}')"
     decoded = f"regexp_replace({decoded}, '&amp;?', '&', 'g')"
     return f"""
 page_bodies AS (
-  SELECT page_id, url, {html} AS html, regexp_replace({html}, {quoted(BLOCKS)}, '', 'g') AS body FROM {source}),
+  SELECT {keys}html, regexp_replace(html, {quoted(BLOCKS)}, '', 'g') AS body FROM {source}),
 page_parts AS (
   SELECT *, CASE WHEN regexp_matches(body, {quoted(MAIN)}) THEN regexp_extract(body, {quoted(MAIN)}, 1)
     WHEN regexp_matches(body, {quoted(ARTICLE)}) THEN regexp_extract(body, {quoted(ARTICLE)}, 1) ELSE body END AS part
   FROM page_bodies),
 page_plain AS (SELECT *, {decoded} AS plain FROM page_parts),
-page_text AS (SELECT page_id, url, html, {clean('plain')} AS text FROM page_plain)"""
+page_text AS (SELECT {keys}html, {clean('plain')} AS text FROM page_plain)"""

@@ -10,7 +10,7 @@ from linkatlas.operators import summary as S
 from linkatlas.operators.skew import salted_join
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
-from linkatlas.plans.pages import NO_CONTENT, NO_TEXT, gated
+from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, STATUS_SQL, gated, page_forms
 from linkatlas.plans.registry import query
 from linkatlas.sources.tables import table
 
@@ -53,7 +53,7 @@ def provider(spark, sf_dir):
     """A provider given by the user, called over Arrow batches."""
     made = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("url"), S.prompt(TEMPLATE, 500, title=F.col("source"), content=F.col("text")).alias("prompt"))
-    return S.provided_summaries(made, first_words, 8).select("url", "summary", "summary_status")
+    return S.provided_summaries(made, first_words).select("url", "summary", "summary_status")
 
 
 REPLIES_SQL = f"""SELECT conv_id, turn, CASE role WHEN 'assistant' THEN text WHEN 'system' THEN '{S.FAILED_SUMMARY}' || text ELSE '{S.EMPTY_SUMMARY}' END AS summary,
@@ -160,24 +160,17 @@ def documents(spark, sf_dir):
     return salted_join(paths, rendered, ["url"], "inner", ["node_key"]).select("path", "body_md5")
 
 
-# Every tenth page was not fetched, some lost their markup, some have an empty main element.
-HOLED = "CASE WHEN page_id % 10 = 9 THEN NULL WHEN page_id % 7 = 0 THEN '' WHEN page_id % 7 = 1 THEN replace(html, '<article>', '<main></main><article>') ELSE html END"
-
-
-@query("l14_assemble_outcomes", f"""WITH {Q.page_text_ctes("pages", HOLED)}, {NODES_CTE}
-SELECT b.export_id, b.node_key, b.url, CASE WHEN coalesce(t.html, '') = '' OR t.text = '' THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN coalesce(t.html, '') = '' THEN '{NO_CONTENT}' || b.url WHEN t.text = '' THEN '{NO_TEXT}' || b.url END AS error,
-  md5(CASE WHEN coalesce(t.html, '') <> '' AND t.text <> '' THEN t.text END) AS summary_md5 FROM nodes b LEFT JOIN page_text t ON t.url = b.url WHERE b.kind = 'url'""")
+@query("l14_assemble_outcomes", f"""WITH {FORMS_SQL}, {Q.page_text_ctes("page_forms", "form")}, {NODES_CTE}, tried AS (
+  SELECT export_id, node_key, url, unnest(range({FORMS + 1}))::INTEGER AS form FROM nodes WHERE kind = 'url')
+SELECT b.export_id, b.node_key, b.url, b.form, {STATUS_SQL.format(t="t.")} AS status, {ERROR_SQL.format(t="t.", u="b.")} AS error,
+  md5(CASE WHEN coalesce(t.html, '') <> '' AND t.text <> '' THEN t.text END) AS summary_md5 FROM tried b LEFT JOIN page_text t ON t.url = b.url AND t.form = b.form""")
 def assemble_outcomes(spark, sf_dir):
-    """Bookmarks with what came of them: pages that were never fetched, empty ones, and summaries.
+    """Bookmarks with what came of each fetch of their page: the page as it is, its broken forms, and one that was never made.
 
     The text is read once per page; only then it is joined to the bookmarks, of which many may share a page.
     """
-    pages = table(spark, sf_dir, "pages")
-    html = (F.when(F.col("page_id") % 7 == 0, "").when(F.col("page_id") % 7 == 1, F.replace(F.col("html"), F.lit("<article>"), F.lit("<main></main><article>")))
-            .otherwise(F.col("html")))
-    fetched = pages.withColumn("html", F.when(F.col("page_id") % 10 != 9, html))
-    text = H.with_text(fetched).select("url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "text")
-    joined = salted_join(bookmarks(spark, sf_dir).select("export_id", "node_key", "url"), text, ["url"], "left", ["export_id", "node_key"])
+    text = H.with_text(page_forms(spark, sf_dir)).select("url", "form", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "text")
+    tried = bookmarks(spark, sf_dir, titled=False).select("export_id", "node_key", "url", F.explode(F.sequence(F.lit(0), F.lit(FORMS))).alias("form"))
+    joined = salted_join(tried, text, ["url", "form"], "left", ["export_id", "node_key"])
     shaped = joined.withColumn("html", F.when(F.coalesce("size", F.lit(0)) > 0, "x"))
-    return gated(shaped).select("export_id", "node_key", "url", "status", "error", F.md5(F.when(F.col("status") == "success", F.col("text"))).alias("summary_md5"))
+    return gated(shaped).select("export_id", "node_key", "url", "form", "status", "error", F.md5(F.when(F.col("status") == "success", F.col("text"))).alias("summary_md5"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from linkatlas.functions.html import with_text
+from linkatlas.functions.html import size_gated, with_text
 from linkatlas.functions.times import epoch_micros
 from linkatlas.operators.fetchlog import OK, QUOTA, RETRIES, TERMINAL, WINDOW_SECONDS, outcome_class
 from linkatlas.streaming.runtime import ROCKSDB, drained, latest_update, settings
@@ -22,8 +22,8 @@ def event_time(ts: str = "ts") -> Column:
 
 
 def ingested_pages(pages: DataFrame) -> DataFrame:
-    """Text of newly arrived pages, one row per page."""
-    text = with_text(pages)
+    """Text of newly arrived pages, one row per page. A page over the size limit has failed."""
+    text = with_text(size_gated(pages))
     return text.select("url", F.octet_length("text").cast("bigint").alias("n_bytes"),
                        F.when(F.col("text") == "", "failed").otherwise("processed").alias("outcome"))
 

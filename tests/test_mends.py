@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from linkatlas.functions.html import size_gated
 from linkatlas.functions.sql import register_python_functions
 from linkatlas.functions.text import path_name
 from linkatlas.operators.ledger import _json_scalar, append_records, latest_state, remove_records
@@ -64,3 +65,9 @@ def test_removed_link_returns(spark):
     gone = remove_records(record("1", 1, "failed"), record("1", 1, "failed"), F.lit("2024-01-02"))
     assert latest_state(gone).count() == 0
     assert [r["run_id"] for r in latest_state(append_records(gone, record("2", 3, "processed"))).collect()] == ["2"]
+
+
+def test_large_pages_are_turned_away(spark):
+    pages = spark.createDataFrame([("a", "<p>" + "x" * 40 + "</p>"), ("b", "<p>y</p>"), ("c", None)], "url string, html string")
+    got = {r["url"]: r["html"] for r in size_gated(pages, limit_mb=20 / 1024 / 1024).collect()}
+    assert got == {"a": None, "b": "<p>y</p>", "c": None}

@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from linkatlas.operators import outline as O
@@ -65,8 +64,9 @@ def test_deep_export_and_depth_guard(spark):
         node = folder(f"f{i}", node)
     kept, _ = flat(spark, bar(node))
     assert max(r["depth"] for r in kept) == 14 and kept[-1]["folder_path"][:3] == ["Root", "Bookmark Bar", "f11"]
-    with pytest.raises(ValueError):
-        T.flatten_exports(S.sound(docs(spark, bar(node))), max_depth=3)
+    kept, bad = T.flatten_exports(S.sound(docs(spark, bar(node), bar(link("flat"), {"type": "x"}))), max_depth=3)
+    assert {r["export_id"] for r in kept.collect()} == {"1"} and kept.count() == 3
+    assert sorted((r["export_id"], r["reason"]) for r in bad.collect()) == [("0", T.TOO_DEEP), ("1", "rejected: unknown type 'x'")]
 
 
 def test_flatten_undoes_fold(spark):
