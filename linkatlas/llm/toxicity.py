@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +16,19 @@ from linkatlas.llm.wordgrid import Letters, WordGrid
 from linkatlas.session import durable
 
 SAMPLE = 4000
-TERMS = 120
-STEMS = 60
-STEM_LENGTHS = (4, 5, 6)
+SENT = 2_000_000
+FOLDS = 3
+STEM_LENGTHS = range(3, 9)
+# How many deviations the bound of the log odds lies below their estimate, and the least bound of a term.
+DEVIATIONS = 1.64
+LEAST = 1.2
+# A term needs this many toxic texts, and this share of them, so that chance finds do not grow with the table.
+FEWEST, SHARE = 3, 0.002
+# Letters of all terms together, and states that edits of them may take, which bound the automaton and its broadcast.
+LETTERS = 10_000
+STATES = 12_000
+STATES_A_LETTER = (0, 8, 40)
+CANDIDATES = 20_000
 NEAR = 8
 KINDS = 3
 EXACT, FUZZY, STEM = range(KINDS)
@@ -28,10 +38,16 @@ QUOTES = '"“”„«»‹›‟「」'
 
 class Lexicon:
     """A trie over terms and stems, and the automaton of all words within the edit distance that a term allows: none up to
-    four letters, one up to nine, two beyond. A stem accepts any word that begins with it."""
+    four letters, one up to nine, two beyond. A stem accepts any word that begins with it. Once the edits of the terms before it take ``states``, a term allows none."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], states: int = STATES):
         self.terms, self.stems = terms, stems
+        self.exact = set()
+        for word in terms:
+            states -= (cost := STATES_A_LETTER[self.edits(word)] * len(word))
+            if states < 0:
+                self.exact.add(word)
+                states += cost
         self.letters = sorted({c for w in [*terms, *stems] for c in w})
         self._trie()
         self._automaton()
@@ -43,7 +59,7 @@ class Lexicon:
         # The most edits that any term below a node allows.
         self.allowed = [0]
         for word, ends in [*((w, self.term_at) for w in self.terms), *((w, self.stem_at) for w in self.stems)]:
-            node, most = 0, self.edits(word) if ends is self.term_at else 0
+            node, most = 0, self.edits(word) if ends is self.term_at and word not in self.exact else 0
             self.allowed[0] = max(self.allowed[0], most)
             for c in word:
                 if c not in self.next[node]:
@@ -91,7 +107,9 @@ class Lexicon:
             state = todo.pop()
             nodes, stem = state
             if nodes not in moved:
-                moved[nodes] = [self._step(nodes, c) for c in [*self.letters, None]]
+                # Letters that lead on from no node of the state all do what a foreign letter does.
+                own, other = {c for n, _ in nodes if n >= 0 for c in self.next[n]}, self._step(nodes, None)
+                moved[nodes] = [self._step(nodes, c) if c in own else other for c in [*self.letters, None]]
             row = []
             for to, found in moved[nodes]:
                 best = max([*found, *([stem] if stem else [])], key=lambda s: self.stems[s], default=None)
@@ -108,7 +126,7 @@ class Lexicon:
                 row.append(number[target])
             at = number[state]
             rows[at] = row
-            ends = [(e, -self.terms[w], w) for n, e in nodes if (w := self.term_at.get(n)) and e <= self.edits(w)]
+            ends = [(e, -self.terms[w], w) for n, e in nodes if (w := self.term_at.get(n)) and e <= (0 if w in self.exact else self.edits(w))]
             if ends and (min(ends)[0] == 0 or stem is None):
                 e, _, word = min(ends)
                 kinds[at], weights[at] = (EXACT if e == 0 else FUZZY), self.terms[word]
@@ -193,68 +211,100 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def own_terms(text: str | None) -> list[str]:
+    """The distinct words of a text, and its stems, marked by a star: beginnings that two or more of its longer words share."""
+    words = set("".join(c if c.isalnum() else " " for c in (text or "").lower()).split())
+    begins = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) > n)
+    return [*(w for w in words if 3 <= len(w) <= 24), *(b + "*" for b, n in begins.items() if n > 1)]
+
+
 def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each labelled text, and its distinct stems: beginnings of longer words, marked by a star."""
+    """How many texts of a batch have each term, by cell (fold and label)."""
     for batch in batches(it, 2 << 20):
-        terms, labels = [], []
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set("".join(c if c.isalnum() else " " for c in (text or "").lower()).split())
-            own = {w for w in words if 3 <= len(w) <= 24} | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
-            terms += own
-            labels += [toxic] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["term", "toxic"])
-
-
-def learn_lexicon(labelled: DataFrame, terms: int = TERMS, stems: int = STEMS) -> Lexicon:
-    """The words and stems that speak most clearly for the label, by the evidence in their document counts, at most ``terms`` and ``stems``
-    of them. Counting is done on Spark; only terms of at least four toxic texts and few others come to the driver."""
-    total = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    pos, neg = total.get(1, 0), total.get(0, 0)
-    if not pos or not neg:
-        return Lexicon({}, {})
-    counts = labelled.select("toxic", "text").mapInArrow(_terms, "term string, toxic int").groupBy("term").agg(
-        F.sum("toxic").cast("bigint").alias("p"), F.sum(1 - F.col("toxic")).cast("bigint").alias("n"))
-    # The share of toxic texts with the term, over that of others, both smoothed.
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    gain = F.col("p") * odds
-    strong = counts.filter((F.col("p") >= 4) & (odds > math.log(8)) & (gain > 15)).select("term", odds.alias("odds"), gain.alias("gain")).withColumn("stem", F.endswith("term", F.lit("*")))
-    best = [strong.filter(F.col("stem") == s).orderBy(F.desc("gain"), "term").limit(n).collect() for s, n in ((False, terms), (True, stems * 4))]
-    words = {r["term"]: float(r["odds"]) for r in best[0]}
-    top: dict[str, tuple[float, float]] = {}
-    for r in best[1]:
-        stem, gain = r["term"][:-1], float(r["gain"])
-        # Of stems that contain one another the one with the most evidence stays; a stem that is only one word's beginning adds nothing.
-        inside = sum(1 for w in words if w.startswith(stem))
-        if inside != 1 and len(top) < stems and not any(stem.startswith(s) or s.startswith(stem) for s in top):
-            top[stem] = (float(r["odds"]), gain)
-    return Lexicon(words, {s: o for s, (o, _) in top.items()})
+        counts: dict[int, Counter] = defaultdict(Counter)
+        for cell, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[cell].update(own_terms(text))
+        for cell, own in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([cell] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["term", "cell", "n"])
+
+
+def evidence(p: Column, n: Column, pos: int, neg: int) -> Column:
+    """A lower bound of the smoothed log odds of a term that ``p`` of ``pos`` toxic texts and ``n`` of ``neg`` others have. It asks for
+    a clear ratio, not for many texts, so a term of a small table or of a rare language counts as well."""
+    odds = F.log((p + 0.5) / (pos + 1)) - F.log((n + 0.5) / (neg + 1))
+    return odds - DEVIATIONS * F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+
+
+def pick(found: list[tuple[str, int, float]], letters: int = LETTERS) -> Lexicon:
+    """Terms (term, toxic texts, evidence), best first, without what those before them cover: words and longer stems that begin
+    with a stem, and stems of no more toxic texts than one of the terms they begin. All that fit into ``letters`` are taken."""
+    words: dict[str, float] = {}
+    stems: dict[str, float] = {}
+    begun: dict[str, int] = {}
+    for term, p, bound in sorted(found, key=lambda x: (-x[2], -len(x[0]), x[0])):
+        word = term.rstrip("*")
+        if any(word[:n] in stems for n in STEM_LENGTHS if n <= len(word)) or term != word and p < begun.get(word, -1) + 2 or len(word) > letters:
+            continue
+        (words if term == word else stems)[word] = bound
+        letters -= len(word)
+        for n in STEM_LENGTHS:
+            if n < len(word) or n == len(word) and term == word:
+                begun[word[:n]] = max(begun.get(word[:n], 0), p)
+    return Lexicon(words, stems)
+
+
+def learn_lexicons(labelled: DataFrame) -> list[Lexicon]:
+    """A lexicon from each choice of all folds but one, and last the one from all. ``labelled`` has ``cell`` (twice the fold, plus
+    the label) and ``text``; its rows are all counted, on Spark, and only terms of sufficient evidence come to the driver."""
+    total = {r["cell"]: r["count"] for r in labelled.groupBy("cell").count().collect()}
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
+    counts = labelled.select("cell", "text").mapInArrow(_terms, "term string, cell int, n bigint").groupBy("term").agg(*cells)
+    out, bounds = [], []
+    for left in range(FOLDS + 1):
+        folds = [k for k in range(FOLDS) if k != left]
+        neg, pos = (sum(total.get(2 * k + y, 0) for k in folds) for y in (0, 1))
+        n, p = (sum((F.col(f"c{2 * k + y}") for k in folds), F.lit(0)) for y in (0, 1))
+        known = pos > 0 and neg > 0
+        bounds += [p.alias(f"p{left}"), (F.when((p >= FEWEST) & (p >= SHARE * pos), evidence(p, n, pos, neg)) if known else F.lit(None).cast("double")).alias(f"b{left}")]
+    strong = counts.select("term", *bounds).filter(F.greatest(*(F.coalesce(F.col(f"b{k}"), F.lit(-1.0)) for k in range(FOLDS + 1))) >= LEAST)
+    strong = durable(strong)
+    for k in range(FOLDS + 1):
+        best = strong.filter(F.col(f"b{k}") >= LEAST).orderBy(F.desc(f"b{k}"), "term").limit(CANDIDATES)
+        out.append(pick([(r[0], r[1], r[2]) for r in best.select("term", f"p{k}", f"b{k}").collect()]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """Learns from at most ``sample`` documents of each label, those of least id hash among the ones that are not held out. Two
-    thirds of them give the lexicon, the others the weights of what is found, so that terms which only happened to be rare do not count twice."""
-    known = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    """Learns from the labelled documents that are not held out: the lexicon from all of them, the weights of what is found from at
+    most ``sample`` of each label, those of least id hash. There each document is read with the lexicon of the other folds, so that
+    terms which only happened to be rare do not count twice."""
+    known = durable(labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic")))
+    fold = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(FOLDS)).cast("int")
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # Labels are sent to all texts while they are few; many are joined as Spark decides.
+    sent = F.broadcast(known) if known.count() <= SENT else known
+    lexicons = learn_lexicons(slim.join(sent, "_id").select((2 * fold + F.col("toxic")).alias("cell"), "text"))
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample))
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = durable(slim.join(F.broadcast(chosen), "_id"))
-    third = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(3)) == 0
-    lexicon = learn_lexicon(labelled.filter(~third))
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, Letters(True)))
+    shared = docs.sparkSession.sparkContext.broadcast((lexicons[:-1], Letters(True)))
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, letters = shared.value
         for batch in batches(it, 2 << 20):
-            x = features(batch.column(1).to_pylist(), own, letters)
+            folds, texts = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            x = np.zeros((len(texts), 8))
+            for k in range(FOLDS):
+                at = np.flatnonzero(folds == k)
+                x[at] = features([texts[i] for i in at], own[k], letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = labelled.filter(third).select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").toArrow()
+    rows = slim.join(F.broadcast(chosen), "_id").select("toxic", fold.alias("fold"), "text").mapInArrow(measure, "toxic int, x array<double>").toArrow()
     y = rows.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
-        return Scorer(lexicon, np.append(np.zeros(8), -4.0))
+        return Scorer(lexicons[-1], np.append(np.zeros(8), -4.0))
     x = np.array(rows.column("x").to_pylist())
     order = np.lexsort([*x.T, y])
-    return Scorer(lexicon, logistic(x[order], y[order]))
+    return Scorer(lexicons[-1], logistic(x[order], y[order]))
 
 
 def _scored(scorer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -269,7 +319,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: ``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on).
 
     Whole texts are read by one automaton over the lexicon (``Lexicon``); what it accepts is weighed by kind of match and by the
-    words around it (``features``). Learning takes a bounded sample; scoring needs no shuffle. Null and empty texts, and all texts
+    words around it (``features``). All labelled rows count for the lexicon, a bounded sample for the weights; scoring needs no shuffle. Null and empty texts, and all texts
     where nothing can be learned, get the score of a text without hits. A null id counts as held out; repeated rows get a row each.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample=sample))

@@ -333,6 +333,17 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs_of(spark, ODD), none).count() == len(ODD)
 
 
+def test_toxic_languages_of_a_small_table(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    found = [r.doc_id for r in queries.op10_toxicity(spark, sf).collect() if r.predicted and r.doc_id in labels]
+    assert sum(labels[d] for d in found) >= 0.95 * len(found)
+    for lang in ("de", "en", "es"):
+        toxic = {d for d, y in labels.items() if y == 1 and langs[d] == lang}
+        assert len(toxic & set(found)) >= 0.8 * len(toxic), lang
+
+
 def test_pipeline(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert docs.columns
