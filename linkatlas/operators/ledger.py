@@ -148,6 +148,28 @@ def before_cursor(folder_path: Column, ordinal: Column, cursor: tuple[list[str],
     return same & (ordinal < index)
 
 
+def behind_cursors(bookmarks: DataFrame, cursors: DataFrame, suffix: bool = True) -> DataFrame:
+    """``run_id``, ``export_id``, ``node_key``: the bookmarks that each run with a stored cursor has behind it.
+
+    ``cursors(run_id, cursor_path, place)`` may hold any number of runs. A bookmark stands behind a cursor in a folder whose path is the cursor's, or with
+    ``suffix`` ends like it, at an ordinal below the place; the place itself is redone. Folder endings are only made in lengths that some cursor
+    has; they are met by hash and compared whole. A cursor with an empty or null path, or no place, has nothing behind it.
+    """
+    known = cursors.filter((F.size("cursor_path") > 0) & F.col("place").isNotNull()).select("run_id", "cursor_path", "place")
+    # Lengths of paths: as many numbers as folders are deep.
+    lengths = sorted(r[0] for r in known.select(F.size("cursor_path")).distinct().collect())
+    path = F.col("folder_path")
+    if suffix:
+        tails = [F.when(F.size(path) >= n, F.slice(path, F.greatest(F.size(path) - n + 1, F.lit(1)), n)) for n in lengths]
+        ends = F.array_compact(F.array(*tails)) if tails else F.array().cast("array<array<string>>")
+    else:
+        ends = F.array(path)
+    met = bookmarks.select("export_id", "node_key", "ordinal", F.explode(ends).alias("_tail")).withColumn("_end", F.xxhash64("_tail"))
+    right = known.withColumn("_end", F.xxhash64("cursor_path"))
+    found = salted_join(met, right, ["_end"], "inner", ["export_id", "node_key"])
+    return found.filter((F.col("_tail") == F.col("cursor_path")) & (F.col("ordinal") < F.col("place"))).select("run_id", "export_id", "node_key").distinct()
+
+
 def url_states(ledger: DataFrame) -> DataFrame:
     """One row per URL with the three facts the decision needs."""
     def ever(test: Column) -> Column:
@@ -163,19 +185,27 @@ MODES = ("normal", "resume", "check_error")
 
 
 def plan_run(bookmarks: DataFrame, ledger: DataFrame, mode: str = "normal", dry_run: bool = False,
-             cursor: tuple[list[str], int] | None = None, suffix: bool = True) -> DataFrame:
+             cursor: tuple[list[str], int] | DataFrame | None = None, suffix: bool = True) -> DataFrame:
     """Adds ``decision`` to every bookmark; a plan only, nothing is fetched or written.
 
-    process, skip_done, skip_failed, skip_position or skip_not_error. One join with the per-URL states.
+    process, skip_done, skip_failed, skip_position or skip_not_error. One join with the per-URL states. The cursor is a place, or a table
+    of stored cursors as ``behind_cursors`` takes it.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
+    if isinstance(cursor, DataFrame):
+        keys = ["export_id", "node_key"]
+        behind = behind_cursors(bookmarks, cursor, suffix).select(*keys).distinct().withColumn("_passed", F.lit(True))
+        bookmarks = bookmarks.join(behind, keys, "left")
     known = salted_join(bookmarks, url_states(ledger), ["url"], "left", ["export_id", "node_key"], hash_build=True)
 
     def is_true(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
-    passed = before_cursor(F.col("folder_path"), F.col("ordinal"), cursor, suffix) if cursor else F.lit(False)
+    if isinstance(cursor, DataFrame):
+        passed = is_true("_passed")
+    else:
+        passed = before_cursor(F.col("folder_path"), F.col("ordinal"), cursor, suffix) if cursor else F.lit(False)
     if mode == "check_error":
         decision = F.when(~is_true("erroneous"), "skip_not_error")
         decision = decision.when(passed, "skip_position") if dry_run else decision
@@ -184,7 +214,7 @@ def plan_run(bookmarks: DataFrame, ledger: DataFrame, mode: str = "normal", dry_
         done = F.when(is_true("done"), "skip_done") if dry_run else F.when(passed, "skip_position").when(is_true("done"), "skip_done")
         decision = done if retry else done.when(is_true("failed"), "skip_failed")
         decision = decision.when(passed, "skip_position") if dry_run else decision
-    return known.withColumn("decision", decision.otherwise("process")).drop("done", "failed", "erroneous")
+    return known.withColumn("decision", decision.otherwise("process")).drop("done", "failed", "erroneous", "_passed")
 
 
 def run_statistics(ledger: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from string import Formatter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,6 +37,17 @@ def prompt(template: str, max_tokens: int, **fields: Column) -> Column:
     return F.concat(*parts)
 
 
+def load_template(spark: SparkSession, path: str) -> str:
+    """The text of a template file, which any file system that Spark reads may hold. A missing file is an error, and so is a field that is not known."""
+    rows = spark.read.text(path, wholetext=True).take(2)
+    if len(rows) != 1:
+        raise ValueError(f"one template file expected at {path}, found {len(rows)}")
+    unknown = {name for _, name, _, _ in Formatter().parse(rows[0][0]) if name is not None} - {"title", "content"}
+    if unknown:
+        raise ValueError(f"unknown fields in the template: {', '.join(sorted(unknown))}")
+    return rows[0][0]
+
+
 def provided_summaries(prompts: DataFrame, provider: Provider, concurrency: int | None = None) -> DataFrame:
     """Run a batch provider over ``(url, prompt)``; it yields frames ``(url, content, error)``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkatlas.plans import fetches, ledgers, outlines, pages, scalars, sqlfuncs, streams, summaries, trees  # noqa: F401
+from linkatlas.plans import fetches, ledgers, outlines, pages, runs, scalars, sqlfuncs, streams, summaries, trees  # noqa: F401
 from linkatlas.plans.registry import CHECKS, QUERIES, Query
 
 

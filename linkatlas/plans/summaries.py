@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from linkatlas.functions import html as H
 from linkatlas.operators import render as R
 from linkatlas.operators import summary as S
+from linkatlas.operators.gates import gated
 from linkatlas.operators.skew import salted_join
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
-from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, STATUS_SQL, gated, page_forms
+from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, STATUS_SQL, page_forms
 from linkatlas.plans.registry import query
 from linkatlas.sources.tables import table
 
