@@ -1,7 +1,8 @@
 """HTML to readable text.
 
-Most pages go through native expressions. Pages whose markup regular expressions cannot follow
-exactly (nested or unclosed containers, ruby, odd entities) go to a streaming parser in Arrow batches;
+Most pages go through native expressions. End tags are matched with their start tags by taking innermost pairs out, round by
+round; where one is left inside a removed element or the chosen block, it ends an element around it. Such pages, and those with other markup that
+expressions cannot follow exactly (nested or unclosed containers, ruby, odd entities), go to a streaming parser in Arrow batches;
 all other rows reach it as NULL and cost nothing there.
 """
 
@@ -44,7 +45,18 @@ ODD = (
     r"|!--|!\[|/[^a-zA-Z]|[/a-zA-Z!?][^>]*\z)|&(?!(?:lt|gt|quot|nbsp|copy|middot|amp);)[#a-zA-Z]"
 )
 QUOTED_CLOSE = r"=\s*(?:\"[^\"<>]*>[^\"]*\"|'[^'<>]*>[^']*')"
-CONTENT_DIV = rf"(?is)<div\b[^>]*\bclass\s*=[^>]*(?:{CONTENT_CLASS})"
+# Any opening tag that may be a content div, and the plain spelling that surely is one.
+CONTENT_DIV = rf"(?is)<div\b[^>]*\bclass\s*=[^>]*(?:{CONTENT_CLASS})[^>]*>"
+PLAIN_DIV = r"(?i)^<div(?:\s+[a-z][a-z0-9-]*=\"[^\"<>&]*\"){1,20}\s*>$"
+PLAIN_CLASS = rf"\s[cC][lL][aA][sS][sS]=\"[^\"]*(?:{CONTENT_CLASS})[^\"]*\""
+# What has no part in matching tags: comments, raw text, elements without content, elements closed by their own slash.
+RAW = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+EMPTY = rf"(?i)<(?:{'|'.join(VOID)})\b[^>]*>"
+SELF_CLOSED = r"<[a-zA-Z][^\t\n\r\f />\x00]*(?:\s[^<>]*[\"'\s])?/>"
+TAG_NAME = r"</?[a-zA-Z][^\t\n\r\f />\x00]*"
+# A start tag and the first end tag behind it, of one name, with nothing but other start tags between. The bound keeps the matcher's stack small.
+PAIR = r"<([^/<>]+)>(?:<(?!/|\1>)[^<>]*>){0,64}</\1>"
+ROUNDS = 16
 
 
 def page_title(html: Column) -> Column:
@@ -61,8 +73,8 @@ def _has(c: Column, pattern: str) -> Column:
 
 
 def main_block(body: Column) -> Column:
-    """Which block holds the text: the first <main>, else the first <article>, else the whole page."""
-    return F.when(_has(body, MAIN), "main").when(_has(body, ARTICLE), "article").otherwise("page")
+    """Which block holds the text: the first <main>, else the first <article>, else the first <div> of a content class, else the whole page."""
+    return F.when(_has(body, MAIN), "main").when(_has(body, ARTICLE), "article").when(_has(body, CONTENT_DIV), "div").otherwise("page")
 
 
 def main_part(body: Column, block: Column) -> Column:
@@ -70,10 +82,41 @@ def main_part(body: Column, block: Column) -> Column:
     return (
         F.when(block == "main", F.regexp_extract(body, MAIN, 1))
         .when(block == "article", F.regexp_extract(body, ARTICLE, 1))
+        .when(block == "div", _div_inside(body))
         .otherwise(body)
     )
 
 
+def _div_inside(body: Column) -> Column:
+    """What the first content div holds, up to the end tag that brings the count of open divs back; NULL where none does."""
+    opening = F.regexp_extract(body, CONTENT_DIV, 0)
+    behind = F.substr(body, F.position(opening, body) + F.char_length(opening))
+    pieces = F.split(behind, r"(?i)(?=</?div\b)")
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("seen"), F.lit(0).alias("at"))
+
+    def step(state: Column, piece: Column) -> Column:
+        change = F.when(F.regexp_like(piece, F.lit(r"(?i)^<div\b")), 1).when(F.regexp_like(piece, F.lit(r"(?i)^</div\b")), -1).otherwise(0)
+        now = state["open"] + change
+        return F.struct(now.alias("open"), (state["seen"] + 1).alias("seen"), F.when((state["at"] == 0) & (now == 0), state["seen"] + 1).otherwise(state["at"]).alias("at"))
+
+    # The piece that closes the div is the first that does not count any more.
+    end = F.aggregate(pieces, start, step, lambda state: state["at"])
+    return F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), end - 1), ""))
+
+
+def stray_ends(markup: Column) -> Column:
+    """Whether an end tag has no start tag of its own inside the markup, so that it would end an element around it.
+
+    The tags alone are looked at. An end tag closes the nearest open element of its name with all that is open inside, so a pair with only start tags
+    between goes out whole. What is left after the last round is stray, nested too deep to tell, or an odd spelling; all count as stray.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(markup, RAW, ""), EMPTY, ""), SELF_CLOSED, "")
+    tags = F.lower(F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(TAG_NAME), F.lit(0)), lambda t: F.concat(t, F.lit(">"))), ""))
+    for _ in range(ROUNDS):
+        tags = F.regexp_replace(tags, PAIR, "")
+    return F.contains(plain, F.lit("/>")) | F.contains(tags, F.lit("</"))
+
+
 def plain_text(part: Column) -> Column:
     """Tags vanish without a separator, then entities are decoded."""
     text = F.regexp_replace(part, TAG, "")
@@ -90,13 +133,12 @@ def needs_parser(html: Column, body: Column, block: Column, part: Column) -> Col
     """Whether the native path may be inexact for a page.
 
     An unclosed script, style or comment swallows the rest of the page, even from inside a removed block;
-    so does a removed block around one of its own kind.
+    so does a removed block around one of its own kind. An end tag inside a removed or chosen block may end an element around the block, and the block with it.
     """
-    def unbalanced(tag: str) -> Column:
-        return F.regexp_count(part, F.lit(rf"(?i)</{tag}\b")) > F.regexp_count(part, F.lit(rf"(?i)<{tag}\b"))
-
     chosen = block != "page"
-    more_ends = F.regexp_count(part, F.lit("</[a-zA-Z]")) > F.regexp_count(part, F.lit(rf"(?i)<(?!(?:{'|'.join(VOID)})\b)[a-z]"))
+    removed = F.array_join(F.regexp_extract_all(html, F.lit(BLOCKS), F.lit(0)), "")
+    opening = F.regexp_extract(body, CONTENT_DIV, 0)
+    plain_div = F.regexp_like(opening, F.lit(PLAIN_DIV)) & (F.regexp_count(opening, F.lit(PLAIN_CLASS)) == 1) & (F.regexp_count(opening, F.lit(r"(?i)\sclass=")) == 1)
     return (
         _has(body, ODD)
         | _uneven(html, r"(?i)<script\b", r"(?i)</script\b")
@@ -107,8 +149,9 @@ def needs_parser(html: Column, body: Column, block: Column, part: Column) -> Col
         | ((block != "main") & _has(body, r"(?i)<main\b"))
         | ((block == "main") & _has(part, r"(?i)<main\b"))
         | ((block != "main") & _has(part, r"(?i)<article\b"))
-        | (~chosen & _has(body, CONTENT_DIV))
-        | (chosen & (more_ends | unbalanced("div") | unbalanced("section") | unbalanced("p") | _has(part, r"(?i)</(?:body|html)\b")))
+        | ((block == "div") & (part.isNull() | ~plain_div | _has(body, r"(?i)<article\b")))
+        | (_has(html, r"(?i)<(?:nav|footer|header)\b") & stray_ends(removed))
+        | (chosen & (stray_ends(F.coalesce(part, F.lit(""))) | _has(part, r"(?i)</(?:body|html)\b")))
     )
 
 

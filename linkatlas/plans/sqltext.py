@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from linkatlas.functions.html import ARTICLE, BLOCKS, MAIN, TAG
 from linkatlas.functions.text import BLANKS, FORBIDDEN, LINE_BREAKS
 
 
@@ -51,19 +50,36 @@ def path_name(name: str, parent: str, limit: int, folder: bool) -> str:
     )
 
 
+def _inside(name: str) -> str:
+    """The first element of a name: what stands between its opening tag and the next end tag."""
+    behind = f"regexp_replace(body, '(?is)^.*?<{name}(\\s[^>]*)?>', '')"
+    return f"WHEN regexp_matches(body, '(?is)<{name}(\\s[^>]*)?>.*</{name}\\s*>') THEN regexp_extract({behind}, '(?is)^(.*?)</{name}\\s*>', 1)"
+
+
+# Divs are counted piece by piece from the content div's opening tag; the first piece at which more are closed than opened ends it.
+CLASSED = "(?is)<div[^>]*\\sclass=\"[^\"]*(main|content|article)[^\"]*\"[^>]*>"
+DIV_PIECES = f"string_split(regexp_replace(regexp_replace(body, '(?is)^.*?' || '{CLASSED[5:]}', ''), '(?i)(</?div[ >])', chr(1) || '\\1', 'g'), chr(1))"
+DIV_STEP = "CASE WHEN starts_with(lower(x), '</div') THEN -1 WHEN starts_with(lower(x), '<div') THEN 1 ELSE 0 END"
+
+
 def page_text_ctes(source: str = "pages", form: str = "") -> str:
-    """CTEs ending in ``page_text(page_id, url, html, text)``; ``form`` names a column of the source to carry along."""
+    """CTEs ending in ``page_text(page_id, url, html, text)``; ``form`` names a column of the source to carry along. The patterns are spelled here anew: one kind of
+    element goes after the other, and blocks are cut at their tags."""
     keys = "page_id, url, " + (f"{form}, " if form else "")
-    decoded = "regexp_replace(part, " + quoted(TAG) + ", '', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
+    body = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for name in ("script", "style", "nav", "footer", "header"):
+        body = f"regexp_replace({body}, '(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>', '', 'g')"
+    decoded = "regexp_replace(part, '</?[A-Za-z!?][^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·")):
         decoded = f"replace({decoded}, '{entity}', '{char}')"
     decoded = f"regexp_replace({decoded}, '&amp;?', '&', 'g')"
     return f"""
-page_bodies AS (
-  SELECT {keys}html, regexp_replace(html, {quoted(BLOCKS)}, '', 'g') AS body FROM {source}),
+page_bodies AS (SELECT {keys}html, {body} AS body FROM {source}),
+page_pieces AS (SELECT *, CASE WHEN regexp_matches(body, '{CLASSED}') THEN {DIV_PIECES} END AS pieces FROM page_bodies),
 page_parts AS (
-  SELECT *, CASE WHEN regexp_matches(body, {quoted(MAIN)}) THEN regexp_extract(body, {quoted(MAIN)}, 1)
-    WHEN regexp_matches(body, {quoted(ARTICLE)}) THEN regexp_extract(body, {quoted(ARTICLE)}, 1) ELSE body END AS part
-  FROM page_bodies),
+  SELECT * EXCLUDE (pieces), CASE {_inside('main')} {_inside('article')}
+    WHEN pieces IS NOT NULL THEN array_to_string(pieces[1:list_position(list_transform(range(1, len(pieces) + 1), lambda i: list_sum(list_transform(pieces[1:i], lambda x: {DIV_STEP}))::INTEGER), -1) - 1], '')
+    ELSE body END AS part
+  FROM page_pieces),
 page_plain AS (SELECT *, {decoded} AS plain FROM page_parts),
 page_text AS (SELECT {keys}html, {clean('plain')} AS text FROM page_plain)"""

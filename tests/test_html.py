@@ -24,6 +24,16 @@ CASES = {
     "void elements": ("<main>a<br>b<img src=x>c<br/>d</main>", "abcd"),
     "ruby": ("<main><ruby>k<rt>r</rt></ruby></main>", "k"),
     "tab inside a piece": ("<main>a\tb  c\n\n d</main>", "a\tb c d"),
+    "end tag inside a removed block": ("<b>a<footer></b>kept</footer>", "akept"),
+    "paragraph ended inside a header": ("<p>x<header><div></p>y</header>z</div>", "xyz"),
+    "own unclosed tag does not make up": ("<b><main>a<i></b>c</main>d", "a"),
+    "balanced navigation": ("<main>a<nav><ul><li><a href='x'>b</a><li>c</ul></nav>d</main>", "ad"),
+    "drawing in a header": ('<p>a</p><header><svg><path d="M0 0"/><g/></svg></header>b', "ab"),
+    "content div": ('<p>a</p><div id="x" class="page content">b<div>c</div><span>d</span></div>e', "bcd"),
+    "content div ended by its parent": ('<section><div class="content">a</section>b</div>c', "a"),
+    "inner div ended by a span": ('<div class="content"><span><div></span>b</div>c</div>', "b"),
+    "class of another attribute": ('<p>a</p><div data-main="1" class="x">b</div>c', "abc"),
+    "content in capitals": ('<p>a</p><div class="Content">b</div>c', "abc"),
     "no markup": ("plain   text", "plain text"),
     "empty": ("", ""),
 }
@@ -54,7 +64,7 @@ def test_parser_survives_anything():
 
 
 TOKENS = ["<main>", "</main>", "<article>", "</article>", "<div>", '<div class="content">', "</div>", "<p>", "</p>", "<b>", "<br>", "<nav>", "</nav>",
-          "<script>", "</script>", "<style>", "</style>", "<header>", "</header>", "<!-- x -->", "<!-- <nav> -->", "</div>", "<ul><li>", "</li>", "<title>", "</title>", "a", "b ", "\n", " c\td ", "&amp;", "&lt;", "&#65;", "&copy", "<section>", "</section>", "</body>"]
+          "<script>", "</script>", "<style>", "</style>", "<header>", "</header>", "<!-- x -->", "<!-- <nav> -->", "</div>", "<ul><li>", "</li>", "<footer>", "</footer>", "<i>", "</i>", "<i/>", "<br/>", '<path d="x"/>', "</ul>", "<title>", "</title>", "a", "b ", "\n", " c\td ", "&amp;", "&lt;", "&#65;", "&copy", "<section>", "</section>", "</body>"]
 
 
 def test_both_ways_agree(spark):
@@ -66,7 +76,7 @@ def test_both_ways_agree(spark):
     register_python_functions(spark)
 
     rng = random.Random(11)
-    rows = [(i, "".join(rng.choice(TOKENS) for _ in range(rng.randrange(1, 14)))) for i in range(12000)]
+    rows = [(i, "".join(rng.choice(TOKENS) for _ in range(rng.randrange(1, 14)))) for i in range(16000)]
     got = with_text(spark.createDataFrame(rows, "i int, html string")).selectExpr("i", "html", "text", "extract_text(html) AS parsed").collect()
     wrong = [(r["html"], r["text"], r["parsed"]) for r in got if r["text"] != r["parsed"]]
     assert wrong == []
