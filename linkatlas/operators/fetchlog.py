@@ -127,17 +127,18 @@ def resolve_redirects(redirects: DataFrame, max_redirects: int = MAX_REDIRECTS)
 
 
 def admissions(requests: DataFrame, key: str, us: str, tie: str, quota: int = QUOTA,
-               window: int = WINDOW_SECONDS) -> DataFrame:
+               window: int = WINDOW_SECONDS, first: str | None = None) -> DataFrame:
     """Admission time of every request under ``quota`` per sliding ``window`` seconds and key, in order of arrival.
 
     The rule a_i = max(t_i, a_(i-quota) + window) solves to a running maximum: with i the 0-based place,
     b = i div quota, a_i = window*b + max(t_j - window*b_j) over earlier j with the same i mod quota.
-    Place and maximum come from ``OrderedChunks``, so a single busy key still uses the whole cluster.
+    Place and maximum come from ``OrderedChunks``, so a single busy key still uses the whole cluster. ``first`` names a column that comes
+    before the time in the order, for rows that stand for earlier admissions.
     """
     if quota <= 0:
         return requests.withColumn("admitted_us", F.col(us))
     span = window * 1_000_000
-    chunks = OrderedChunks(requests, [key], [us, tie]).row_number("_n")
+    chunks = OrderedChunks(requests, [key], [*([first] if first else []), us, tie]).row_number("_n")
     chunks.df = chunks.df.withColumn("_slot", (F.col("_n") - 1) % quota).withColumn(
         "_block", F.floor((F.col("_n") - 1) / quota).cast("bigint"))
     chunks.running(F.col(us) - F.col("_block") * span, "max", "_lead", ["_slot"])

@@ -12,8 +12,10 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from linkatlas.functions.html import size_gated, with_text
 from linkatlas.functions.times import epoch_micros
-from linkatlas.operators.fetchlog import OK, QUOTA, RETRIES, TERMINAL, WINDOW_SECONDS, outcome_class
-from linkatlas.streaming.runtime import ROCKSDB, drained, latest_update, settings
+from linkatlas.operators.fetchlog import OK, QUOTA, RETRIES, TERMINAL, WINDOW_SECONDS, admissions, outcome_class
+from linkatlas.operators.skew import top_per_group
+from linkatlas.session import durable, scratch_path
+from linkatlas.streaming.runtime import ROCKSDB, Carried, drained, latest_update, settings
 
 
 def event_time(ts: str = "ts") -> Column:
@@ -58,41 +60,101 @@ def session_bursts(stream: DataFrame, key: str, ts: str, delay: str, gap: str) -
         return drained(sessions).drop("batch")
 
 
-class Throttle(StatefulProcessor):
-    """Keeps the last ``quota`` admissions of a key and admits each arrival when the oldest has left the window."""
+def _late(us: Column, mark: int | None) -> Column:
+    return F.lit(False) if mark is None else us <= mark
 
-    def __init__(self, quota: int, window: int):
-        self.quota, self.span = quota, window * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", StructType([StructField("us", LongType())]))
+def merged_load(stream: DataFrame, key: str, us: str, length: int, slide: int | None = None, delay: int = 3600, base: str | None = None) -> DataFrame:
+    """Requests per key and window (``length`` and ``slide`` in seconds), late ones included: ``key``, ``start_us``, ``requests``, ``late``.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrivals = pd.concat(list(rows)).sort_values(["us", "tie"], kind="stable")
-        recent = [r[0] for r in self.recent.get()]
-        admitted = []
-        for us in arrivals["us"]:
-            at = int(us) if len(recent) < self.quota else max(int(us), recent[0] + self.span)
-            recent = [*recent, at][-self.quota:]
-            admitted.append(at)
-        self.recent.put([(a,) for a in recent])
-        yield pd.DataFrame({"key": key[0], "tie": arrivals["tie"].to_numpy(), "admitted_us": admitted})
+    Each micro-batch writes its own partial counts, and the reader sums them, so no state is held and no row is lost, however late. ``late`` counts the requests whose
+    window was closed when they came: its end lay ``delay`` seconds or more behind the latest time of the batches before.
+    """
+    span, step = length * 1_000_000, (slide or length) * 1_000_000
+    if span % step:
+        raise ValueError("the length must be a multiple of the slide")
+    spark = stream.sparkSession
+    carried = Carried(spark, base or scratch_path(spark, "load"), delay * 1_000_000)
+    kind = f"{key} {dict(stream.dtypes)[key]}"
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        mark = carried.mark(batch_id - 1)
+        last = F.col(us) - F.pmod(F.col(us), F.lit(step))
+        start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(span // step - 1)), lambda i: last - i * step))
+        counted = batch.select(key, us, start.alias("start_us")).withColumn("_late", _late(F.col("start_us") + span, mark)).groupBy(key, "start_us").agg(
+            F.count(F.lit(1)).alias("requests"), F.count_if("_late").alias("late"))
+        carried.write("counts", batch_id, counted)
+        carried.advance(batch_id, batch, us)
+
+    if carried.run(stream, count) < 0:
+        return spark.createDataFrame([], f"{kind}, start_us bigint, requests bigint, late bigint")
+    parts = carried.all("counts", f"{kind}, start_us bigint, requests bigint, late bigint")
+    return parts.groupBy(key, "start_us").agg(F.sum("requests").alias("requests"), F.sum("late").alias("late"))
+
+
+def merged_keys(stream: DataFrame, key: str, us: str, delay: int = 3600, base: str | None = None) -> DataFrame:
+    """Each key once, however late it comes or comes again: ``key``, ``first_us``, ``on_time``.
+
+    Micro-batches write their distinct keys, and the reader merges them. ``on_time`` tells whether any row of the key came before the mark had passed it.
+    """
+    spark = stream.sparkSession
+    carried = Carried(spark, base or scratch_path(spark, "keys"), delay * 1_000_000)
+    shape = f"{key} {dict(stream.dtypes)[key]}, first_us bigint, on_time boolean"
 
-    def close(self) -> None:
-        pass
+    def distinct(batch: DataFrame, batch_id: int) -> None:
+        timely = ~_late(F.col(us), carried.mark(batch_id - 1))
+        carried.write("keys", batch_id, batch.groupBy(key).agg(F.min(us).alias("first_us"), F.bool_or(timely).alias("on_time")))
+        carried.advance(batch_id, batch, us)
 
+    if carried.run(stream, distinct) < 0:
+        return spark.createDataFrame([], shape)
+    return carried.all("keys", shape).groupBy(key).agg(F.min("first_us").alias("first_us"), F.bool_or("on_time").alias("on_time"))
 
-def streamed_admissions(stream: DataFrame, key: str, us: str, tie: str, quota: int = QUOTA,
-                        window: int = WINDOW_SECONDS) -> DataFrame:
-    """Admission times of a live stream; arrivals of one micro-batch are taken in time order.
 
-    A micro-batch bounds what one key brings at a time; ``fetchlog.admissions`` is the batch form for logs.
+def streamed_admissions(stream: DataFrame, key: str, us: str, tie: str, quota: int = QUOTA, window: int = WINDOW_SECONDS, delay: int = 86_400,
+                        base: str | None = None, ended: bool = True) -> DataFrame:
+    """Admission times of a live stream, in order of arrival time whatever the cut of the micro-batches: ``key``, ``tie``, ``admitted_us``, ``late``.
+
+    Rows are held back until the latest time seen is ``delay`` seconds past them. Those that are ready are admitted by ``fetchlog.admissions``, over the whole cluster,
+    after the last ``quota`` admissions of their key, which stand as rows before them; admissions that left the window are forgotten. A row that comes
+    after its turn cannot be put in order any more: it comes out with a null admission and ``late`` true. With ``ended`` the rows still held are admitted
+    too, as those of a log that is over; the tables kept for a later start do not take that step.
     """
-    shaped = stream.select(F.col(key).alias("key"), F.col(us).alias("us"), F.col(tie).alias("tie"))
-    out = StructType([StructField(n, LongType()) for n in ("key", "tie", "admitted_us")])
-    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
-        admitted = shaped.groupBy("key").transformWithStateInPandas(Throttle(quota, window), out, "Append", "None")
-        return drained(admitted).select(F.col("key").alias(key), F.col("tie").alias(tie), "admitted_us")
+    spark, span = stream.sparkSession, window * 1_000_000
+    carried = Carried(spark, base or scratch_path(spark, "throttle"), delay * 1_000_000)
+    kind = dict(stream.dtypes)
+    held_shape, recent_shape = f"key {kind[key]}, us bigint, tie {kind[tie]}", f"key {kind[key]}, admitted_us bigint"
+    out_shape = f"key {kind[key]}, tie {kind[tie]}, admitted_us bigint, late boolean"
+
+    def admit(ready: DataFrame, batch_id: int) -> DataFrame:
+        seeds = carried.read("recent", batch_id - 1, recent_shape).select("key", F.col("admitted_us").alias("us"), F.lit(None).cast(kind[tie]).alias("tie"), F.lit(0).alias("turn"))
+        return admissions(seeds.unionByName(ready.withColumn("turn", F.lit(1))), "key", "us", "tie", quota, window, first="turn")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = carried.mark(batch_id - 1)
+        rows = batch.select(F.col(key).alias("key"), F.col(us).cast("bigint").alias("us"), F.col(tie).alias("tie"))
+        mark = carried.advance(batch_id, rows, "us")
+        late = _late(F.col("us"), before)
+        pool = carried.read("held", batch_id - 1, held_shape).unionByName(rows.filter(~late))
+        ready = _late(F.col("us"), mark)
+        told = durable(admit(pool.filter(ready), batch_id))
+        done = told.filter("turn = 1").select("key", "tie", "admitted_us", F.lit(False).alias("late"))
+        lost = rows.filter(late).select("key", "tie", F.lit(None).cast("bigint").alias("admitted_us"), F.lit(True).alias("late"))
+        carried.write("admitted", batch_id, done.unionByName(lost))
+        carried.write("held", batch_id, pool.filter(~ready))
+        # A later row arrives after the mark, so an admission that leaves the window before it delays none.
+        kept = told if mark is None else told.filter(F.col("admitted_us") + span > mark)
+        newest = top_per_group(kept.select("key", "admitted_us", "turn", "us", "tie"), ["key"], [F.col(c).desc() for c in ("admitted_us", "turn", "us", "tie")], max(quota, 1), ["tie", "us"])
+        carried.write("recent", batch_id, newest.select("key", "admitted_us"))
+
+    last = carried.run(stream, step)
+    if last < 0:
+        return spark.createDataFrame([], out_shape.replace("key", key, 1).replace("tie", tie, 1))
+    out = carried.all("admitted", out_shape).drop("batch")
+    if ended:
+        rest = admit(carried.read("held", last, held_shape), last + 1).filter("turn = 1").select("key", "tie", "admitted_us", F.lit(False).alias("late"))
+        out = out.unionByName(rest)
+    return out.select(F.col("key").alias(key), F.col("tie").alias(tie), "admitted_us", "late")
 
 
 # Fixed value: the outcome of a fetch without a terminal answer.

@@ -74,3 +74,47 @@ def latest_update(updates: DataFrame, keys: list[str], values: list[str]) -> Dat
     """The last state of every key in a table of updates."""
     last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, "_last.*")
+
+
+class Carried:
+    """Tables that go from one micro-batch to the next, one folder for each batch, below ``base``.
+
+    A batch reads what the one before it left and overwrites its own folders, so a batch that runs again after a loss comes to the same tables. The ``mark`` is the
+    greatest event time seen so far less the ``delay``, in microseconds: rows at or before it come late.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, delay_us: int):
+        self.spark, self.base, self.delay = spark, base, delay_us
+
+    def read(self, name: str, batch_id: int, schema: str) -> DataFrame:
+        if batch_id < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}/batch={batch_id}")
+
+    def write(self, name: str, batch_id: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.base}/{name}/batch={batch_id}")
+
+    def mark(self, batch_id: int) -> int | None:
+        row = self.read("mark", batch_id, "us bigint").first()
+        return None if row is None else row[0]
+
+    def advance(self, batch_id: int, rows: DataFrame, us: str) -> int | None:
+        """The mark after a batch, written and returned."""
+        before, top = self.mark(batch_id - 1), rows.agg(F.max(us)).first()[0]
+        known = [x for x in (before, None if top is None else top - self.delay) if x is not None]
+        after = max(known, default=None)
+        self.write("mark", batch_id, self.spark.createDataFrame([(after,)], "us bigint").coalesce(1))
+        return after
+
+    def all(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.base}/{name}")
+
+    def run(self, stream: DataFrame, step) -> int:
+        """Drains the stream through ``step(batch, batch_id)``; returns the number of the last batch, -1 if none ever ran."""
+        (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+        try:
+            return self.spark.read.schema("us bigint, batch bigint").parquet(f"{self.base}/mark").agg(F.max("batch")).first()[0]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1

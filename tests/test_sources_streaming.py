@@ -80,7 +80,7 @@ def attempts(spark, path):
 
 def test_throttle_state_crosses_batches(spark, split_events):
     batch = L.admissions(shape_attempts(spark.read.parquet(split_events)).select("event_id", "host", "us"), "host", "us", "event_id", 2, 86400)
-    live = J.streamed_admissions(attempts(spark, split_events), "host", "us", "event_id", 2, 86400)
+    live = J.streamed_admissions(attempts(spark, split_events), "host", "us", "event_id", 2, 86400, delay=40 * 86400)
     assert rows(live, "event_id", "admitted_us") == rows(batch, "event_id", "admitted_us")
 
 
