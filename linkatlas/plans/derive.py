@@ -93,6 +93,45 @@ def bookmarks(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFram
     return nodes(spark, sf_dir, titled).filter(F.col("kind") == "url")
 
 
+# Pages of a large export, levels of folders in it, and the digits of a page's place, one for each level.
+LARGE, LEVELS = 1000, 10
+
+
+def large_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of up to 1000 pages that are wide and deep: the first section holds every page in one folder, the second has ten levels of folders, two to a folder, by the binary digits
+    of the page's place, and each page twice at the lowest one. A folder comes from its first page, so nothing is repeated.
+    """
+    place = (F.col("page_id") % LARGE).cast("bigint")
+    pad = lambda c: F.lpad(c.cast("string"), PAD, "0")
+    section = lambda i: F.concat(F.lit("R/f"), F.lpad(F.lit(str(i)), PAD, "0"))
+    group = lambda level: F.floor(F.col("place") / F.pow(F.lit(2), LEVELS - level)).cast("bigint")
+    names = lambda upto: F.transform(F.sequence(F.lit(1), upto), lambda i: F.concat(F.lit("L"), i.cast("string"), F.lit("-"), group(i).cast("string")))
+    key = lambda upto: F.concat(section(1), F.array_join(F.transform(F.sequence(F.lit(1), upto), lambda i: F.concat(F.lit("/f"), pad(group(i) % 2))), ""))
+    none, no_time, folder, leaf = F.lit(None).cast("string"), F.lit(None).cast("timestamp"), F.lit("folder"), F.lit("url")
+
+    def row(node_key, parent, kind, title, ordinal, depth, path, own=False):
+        return F.struct(node_key.alias("node_key"), parent.alias("parent_key"), kind.alias("kind"), title.alias("title"), (F.col("url") if own else none).alias("url"),
+                        (F.col("date_added") if own else no_time).alias("date_added"), ordinal.cast("int").alias("ordinal"), depth.cast("int").alias("depth"), path.alias("folder_path"))
+
+    bar, other = F.array(F.lit(TOP), F.lit("Bookmark Bar")), F.array(F.lit(TOP), F.lit("Other"))
+    whole = F.lit(LEVELS)
+    tops = F.when(F.col("place") == 0, F.array(
+        row(F.lit("R"), none, folder, F.lit(TOP), F.lit(0), F.lit(0), F.array(F.lit(TOP))), row(section(0), F.lit("R"), folder, F.lit("Bookmark Bar"), F.lit(0), F.lit(1), bar),
+        row(section(1), F.lit("R"), folder, F.lit("Other"), F.lit(1), F.lit(1), other)))
+    leaves = F.array(row(F.concat(section(0), F.lit("/b"), pad(F.col("place"))), section(0), leaf, F.col("title"), F.col("place"), F.lit(2), bar, True), *[
+        row(F.concat(key(whole), F.lit("/b"), pad(F.lit(i))), key(whole), leaf, F.col("title"), F.lit(i), F.lit(LEVELS + 2), F.concat(other, names(whole)), True) for i in range(2)])
+    begun = F.filter(F.sequence(F.lit(1), whole), lambda i: F.col("place") % F.pow(F.lit(2), LEVELS - i).cast("bigint") == 0)
+    parents = lambda i: F.when(i == 1, section(1)).otherwise(key(i - 1))
+    folders = F.transform(begun, lambda i: row(key(i), parents(i), folder, F.concat(F.lit("L"), i.cast("string"), F.lit("-"), group(i).cast("string")), group(i) % 2, i + 1, F.concat(other, names(i))))
+    pages = link_pages(spark, sf_dir).withColumn("place", place).withColumn("export_id", F.concat(F.lit("z"), F.floor(F.col("page_id") / LARGE).cast("string")))
+    empty = F.array().cast(folders_type())
+    return pages.select("export_id", F.inline(F.concat(F.coalesce(tops, empty), leaves, folders))).select(*NODE_COLUMNS)
+
+
+def folders_type() -> str:
+    return ("array<struct<node_key: string, parent_key: string, kind: string, title: string, url: string, date_added: timestamp, ordinal: int, depth: int, folder_path: array<string>>>")
+
+
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nodes`` folded back to JSON documents. Both stand in for stored tables, so both are written once."""
     return durable(fold_exports(stored_nodes(spark, sf_dir)))
@@ -186,6 +225,19 @@ nodes AS (
   UNION ALL SELECT DISTINCT export_id, k3, k2, 'folder', lang, NULL, NULL, lo, 3, 'Root/' || label || '/' || host || '/' || lang FROM keyed_pages
   UNION ALL SELECT export_id, k4, k3, 'url', title, url, date_added, bo, 4, 'Root/' || label || '/' || host || '/' || lang FROM keyed_pages)"""
 
+LARGE_CTE = PAGES_CTE + f""",
+placed AS (SELECT *, 'z' || page_id // {LARGE} AS large_id, page_id % {LARGE} AS place FROM link_pages),
+steps AS (SELECT large_id, page_id, place, l, place // (1 << ({LEVELS} - l)) AS g FROM placed, range(1, {LEVELS + 1}) r(l)),
+ways AS (SELECT large_id, page_id, l, g, string_agg('/f' || lpad((g % 2)::VARCHAR, {PAD}, '0'), '') OVER w AS steps, string_agg('/L' || l || '-' || g, '') OVER w AS names,
+    place % (1 << ({LEVELS} - l)) = 0 AS begins FROM steps WINDOW w AS (PARTITION BY page_id ORDER BY l)),
+ends AS (SELECT p.*, w.steps, w.names, 'R/f' || lpad('1', {PAD}, '0') || w.steps AS folder_key FROM placed p JOIN ways w USING (page_id) WHERE l = {LEVELS}),
+nodes AS (
+  SELECT DISTINCT large_id AS export_id, 'R' AS node_key, NULL::VARCHAR AS parent_key, 'folder' AS kind, 'Root' AS title, NULL::VARCHAR AS url, NULL::TIMESTAMP AS date_added, 0 AS ordinal, 0 AS depth, 'Root' AS path FROM placed
+  UNION ALL SELECT DISTINCT large_id, 'R/f' || lpad(i::VARCHAR, {PAD}, '0'), 'R', 'folder', CASE i WHEN 0 THEN 'Bookmark Bar' ELSE 'Other' END, NULL, NULL, i, 1, 'Root/' || CASE i WHEN 0 THEN 'Bookmark Bar' ELSE 'Other' END FROM placed, range(2) r(i)
+  UNION ALL SELECT large_id, 'R/f' || lpad('0', {PAD}, '0') || '/b' || lpad(place::VARCHAR, {PAD}, '0'), 'R/f' || lpad('0', {PAD}, '0'), 'url', title, url, date_added, place, 2, 'Root/Bookmark Bar' FROM placed
+  UNION ALL SELECT large_id, folder_key || '/b' || lpad(i::VARCHAR, {PAD}, '0'), folder_key, 'url', title, url, date_added, i, {LEVELS + 2}, 'Root/Other' || names FROM ends, range(2) r(i)
+  UNION ALL SELECT large_id, 'R/f' || lpad('1', {PAD}, '0') || steps, 'R/f' || lpad('1', {PAD}, '0') || left(steps, length(steps) - {PAD + 2}), 'folder', 'L' || l || '-' || g, NULL, NULL, (g % 2)::BIGINT, l + 1, 'Root/Other' || names FROM ways WHERE begins)"""
+
 ATTEMPTS_CTE = """
 attempts AS (
   SELECT event_id, user_id AS host, event_id % 50 AS url_id, event_id // 200 AS episode,

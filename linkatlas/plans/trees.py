@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkatlas.operators import tree as T
-from linkatlas.plans.derive import EPOCH_1601_GAP, NODES_CTE, damaged_exports, exports, link_pages, nodes, stored_nodes
+from linkatlas.plans.derive import EPOCH_1601_GAP, LARGE_CTE, NODES_CTE, damaged_exports, exports, large_nodes, link_pages, nodes, stored_nodes
 from linkatlas.plans.registry import query
+from linkatlas.session import durable, scratch_path
 from linkatlas.sources import exports as S
 from linkatlas.sources.tables import table
 
@@ -29,7 +30,11 @@ def sound_docs(spark, sf_dir):
 @query("s1_read_exports", f"""WITH {NODES_CTE}
 SELECT export_id, count(*) FILTER (kind = 'folder' AND depth = 1) AS sections, '1' AS version FROM nodes GROUP BY export_id""")
 def read_exports(spark, sf_dir):
-    parsed = S.parse_exports(exports(spark, sf_dir))
+    """Exports as files of the shared folder, one document each, read whole; the id comes back out of the folder's name."""
+    path = scratch_path(spark, "exports")
+    exports(spark, sf_dir).select("export_id", F.col("raw").alias("value")).write.partitionBy("export_id").option("lineSep", "\n").text(path)
+    files = S.read_exports(spark, f"{path}/*/*.txt").withColumn("export_id", F.regexp_extract("export_id", "export_id=([^/]+)/", 1))
+    parsed = S.parse_exports(files)
     roots = F.size(S.field(F.col("doc"), "roots").cast("map<string,variant>")).cast("bigint")
     return parsed.select("export_id", roots.alias("sections"), S.field(F.col("doc"), "version", "string").alias("version"))
 
@@ -65,6 +70,21 @@ def flatten(spark, sf_dir):
     return shown(T.flatten_exports(sound_docs(spark, sf_dir))[0])
 
 
+@query("t1_large_flatten", f"WITH {LARGE_CTE} SELECT {SHOWN} FROM nodes")
+def large_flatten(spark, sf_dir):
+    """Documents of over a thousand nodes, over fifty children and twelve levels, there and back."""
+    docs = durable(T.fold_exports(durable(large_nodes(spark, sf_dir))))
+    return shown(T.flatten_exports(S.sound(S.parse_exports(docs)))[0])
+
+
+@query("t8_large_counts", f"""WITH {LARGE_CTE}
+SELECT f.export_id, f.node_key, count(b.node_key) AS bookmarks FROM nodes f
+LEFT JOIN nodes b ON b.export_id = f.export_id AND b.kind = 'url' AND starts_with(b.node_key, f.node_key || '/')
+WHERE f.kind = 'folder' GROUP BY 1, 2""")
+def large_counts(spark, sf_dir):
+    return T.subtree_counts(durable(large_nodes(spark, sf_dir)))
+
+
 # Every page as a raw node whose shape depends on its host and language: the rules on kinds, names and drops.
 ODD_NODES_SQL = f"""WITH {NODES_CTE}, odd AS (SELECT *, page_id % 8 AS k FROM link_pages)"""
 
