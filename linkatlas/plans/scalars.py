@@ -11,7 +11,6 @@ from linkatlas.operators.ledger import settings_hash
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import ATTEMPTS_CTE, NODES_CTE, attempts, nodes
 from linkatlas.plans.registry import query
-from linkatlas.sources import documents
 from linkatlas.sources.tables import table
 
 URL_FORMS_SQL = """
@@ -222,10 +221,3 @@ def settings_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", settings_hash(
         model=F.col("c_mktsegment"), max_tokens=500 + nation, temperature=(1 + nation % 9) / F.lit(10.0),
         output_dir=F.col("c_name"), metadata=F.col("c_acctbal") > 0, diagram=nation % 2 == 0).alias("config_hash"))
-
-
-@query("s10_file_hashes")
-def file_hashes(spark, sf_dir):
-    """Fingerprints of the stored table files. SQL sees no files, so there is no check text; a test covers it."""
-    found = documents.file_hashes(spark, f"{sf_dir}/pages.parquet", "sha256")
-    return found.select(F.substring_index("path", "/", -1).alias("file"), "hash")

@@ -13,6 +13,8 @@ from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
 from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, STATUS_SQL, page_forms
 from linkatlas.plans.registry import query
+from linkatlas.session import scratch_path
+from linkatlas.sources.documents import file_hashes, write_document_files
 from linkatlas.sources.tables import table
 
 TEMPLATE = "Title: {title}\nText: {content}\n--"
@@ -161,6 +163,32 @@ def documents(spark, sf_dir):
     return salted_join(paths, rendered, ["url"], "inner", ["node_key"]).select("path", "body_md5")
 
 
+def _written(spark, sf_dir):
+    """The documents as files of a new folder; returns it."""
+    body = R.markdown(F.col("url"), F.col("title"), F.col("summary"), _front())
+    rendered = summaries(spark, sf_dir).select("url", body.alias("body"))
+    paths = R.document_paths(bookmarks(spark, sf_dir), "/out").select("path", "url", "node_key")
+    root = scratch_path(spark, "documents")
+    write_document_files(salted_join(paths, rendered, ["url"], "inner", ["node_key"]), root)
+    return root
+
+
+DOCUMENT_FILES_SQL = f"WITH {SUMMARIES_SQL}, {NODES_CTE}, {DOC_PATHS_SQL}, written AS (SELECT path, {BODY_SQL} AS body FROM copies JOIN fronts USING (url))"
+
+
+@query("s7_document_files", f"{DOCUMENT_FILES_SQL} SELECT path, body FROM written")
+def document_files(spark, sf_dir):
+    """The documents written as files, one each, and read back."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_written(spark, sf_dir))
+    return files.select(F.concat(F.lit("/out"), F.split_part("path", F.lit("/out"), F.lit(-1))).alias("path"), F.decode("content", "UTF-8").alias("body"))
+
+
+@query("s10_file_hashes", f"{DOCUMENT_FILES_SQL} SELECT split_part(path, '/', -1) AS file, sha256(body) AS hash FROM written")
+def document_hashes(spark, sf_dir):
+    """Fingerprints of the written files, each a row of its own."""
+    return file_hashes(spark, _written(spark, sf_dir), "sha256").select(F.substring_index("path", "/", -1).alias("file"), "hash")
+
+
 @query("l14_assemble_outcomes", f"""WITH {FORMS_SQL}, {Q.page_text_ctes("page_forms", "form")}, {NODES_CTE}, tried AS (
   SELECT export_id, node_key, url, unnest(range({FORMS + 1}))::INTEGER AS form FROM nodes WHERE kind = 'url')
 SELECT b.export_id, b.node_key, b.url, b.form, {STATUS_SQL.format(t="t.")} AS status, {ERROR_SQL.format(t="t.", u="b.")} AS error,

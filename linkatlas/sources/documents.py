@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from linkatlas.functions.text import HASHES
 
@@ -13,29 +22,70 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select("path", "body").repartition("path").write.mode("errorifexists").parquet(path)
 
 
-def write_document_files(documents: DataFrame, root: str) -> None:
-    """One file per row below a folder that every executor can reach, for small exports.
-
-    A file is written under another name and renamed, so a repeated task leaves no half-written file.
-    """
-    def write(batches):
-        import os
-        import uuid
-
-        for batch in batches:
-            for name, body in zip(batch["path"], batch["body"]):
-                target = os.path.normpath(os.path.join(root, name.lstrip("/")))
-                if not target.startswith(os.path.normpath(root) + os.sep):
+class DocumentSink(DataSource):
+    """``df.write.format("documents").option("root", folder)``: one file for each row ``(path, body)``, all of them or none."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "documents"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite or "root" not in self.options:
+            raise ValueError("documents are appended to a new folder, which the option root names")
+        return DocumentWriter(self.options["root"], schema.names.index("path"), schema.names.index("body"))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: int
+
+
+class DocumentWriter(DataSourceArrowWriter):
+    """Tasks write below a folder of the job's own, on a file system that Arrow reaches from every executor under the same URI. The job's commit gives that folder its
+    name in one step, and an abort removes it, so readers see no part of a job. A task that runs again writes the same files over."""
+
+    def __init__(self, root: str, path_at: int, body_at: int):
+        self.root, self.staging, self.path_at, self.body_at = root.rstrip("/"), f"{root.rstrip('/')}.{uuid.uuid4().hex}", path_at, body_at
+
+    def _open(self, uri: str):
+        return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, base = self._open(self.staging)
+        count = 0
+        for batch in iterator:
+            for name, body in zip(batch.column(self.path_at).to_pylist(), batch.column(self.body_at).to_pylist()):
+                inside = posixpath.normpath(name.lstrip("/"))
+                if inside in (".", "..") or inside.startswith("../"):
                     raise ValueError(f"path outside the folder: {name}")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                target = f"{base}/{inside}"
+                files.create_dir(posixpath.dirname(target), recursive=True)
                 part = f"{target}.{uuid.uuid4().hex}"
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(body)
-                os.replace(part, target)
-            yield batch[["path"]]
+                with files.open_output_stream(part) as out:
+                    out.write(body.encode())
+                files.move(part, target)
+                count += 1
+        return Written(count)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, base = self._open(self.staging)
+        root = self._open(self.root)[1]
+        if files.get_file_info(root).type != FileType.NotFound:
+            self.abort(messages)
+            raise FileExistsError(f"{self.root} is there already")
+        files.create_dir(base, recursive=True)
+        files.move(base, root)
 
-    written = documents.select("path", "body").mapInPandas(write, "path string")
-    written.write.format("noop").mode("overwrite").save()
+    def abort(self, messages: list[Written | None]) -> None:
+        files, base = self._open(self.staging)
+        if files.get_file_info(base).type != FileType.NotFound:
+            files.delete_dir(base)
+
+
+def write_document_files(documents: DataFrame, root: str) -> None:
+    """One file per row below ``root``, a folder that must not be there yet; see ``DocumentSink``. For exports whose number of files a file system bears."""
+    documents.sparkSession.dataSource.register(DocumentSink)
+    documents.select("path", "body").write.format("documents").mode("append").option("root", root).save()
 
 
 def write_outline(fenced: DataFrame, path: str) -> None:

@@ -39,6 +39,21 @@ def test_document_sinks(spark, tmp_path):
     assert [p.name for p in (tmp_path / "files" / "a").iterdir()] == ["x.md"]
 
 
+def test_a_broken_job_leaves_no_document(spark, tmp_path):
+    rows = [(f"/a/{i}.md", "text") for i in range(40)]
+    bad = spark.createDataFrame([*rows, ("/../../out.md", "text")], "path string, body string").repartition(4)
+    with pytest.raises(Exception, match="path outside the folder"):
+        D.write_document_files(bad, str(tmp_path / "files"))
+    assert list(tmp_path.iterdir()) == []
+    good = spark.createDataFrame(rows, "path string, body string").repartition(4)
+    D.write_document_files(good, str(tmp_path / "files"))
+    with pytest.raises(Exception, match="is there already"):
+        D.write_document_files(good, str(tmp_path / "files"))
+    assert len(list((tmp_path / "files" / "a").iterdir())) == 40 and len(list(tmp_path.iterdir())) == 1
+    D.write_document_files(good.limit(0), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_outline_sink(spark, tmp_path):
     D.write_outline(spark.createDataFrame([("e1", "```mermaid\ngraph TD\n```")], "export_id string, document string"), str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).count() == 3
