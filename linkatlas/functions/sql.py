@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from linkatlas.functions.html import DEFAULT_LIMIT_MB, limit_bytes, read_markup
 from linkatlas.functions.text import ANY_BLANK, BLANK_CHARS, FORBIDDEN, LINE_BREAKS
-from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, LAST_MICRO
+from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, ISO_PATTERN, LAST_MICRO
 from linkatlas.functions.urls import IGNORED, NETLOC, VALID_URL
 from linkatlas.operators.tree import PAD, SECTIONS, TOP, TOP_KEY, UNTITLED
 
@@ -26,6 +26,28 @@ def _raw(pattern: str) -> str:
 BLANK_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in BLANK_CHARS) + "'"
 SQUEEZED = "trim(regexp_replace({c}, " + _raw(f"(?U){ANY_BLANK}+") + ", ' '))"
 
+def _whole_characters(text: str, limit: int) -> str:
+    """SQL for the longest prefix of whole characters within ``limit`` bytes."""
+    cuts = ", ".join(f"try_validate_utf8(CAST(substring(encode({text}, 'UTF-8'), 1, {limit - back}) AS STRING))" for back in range(4))
+    return f"CASE WHEN octet_length({text}) <= {limit} THEN {text} ELSE coalesce({cuts}, '') END"
+
+
+EMPTY = "''"
+STEPS = "filter(split({c}, '/'), p -> p <> '' AND p <> '.')"
+ANCHOR = "if(startswith({c}, '/'), array('/'), cast(array() AS ARRAY<STRING>))"
+
+
+def _lexical(c: str) -> str:
+    """SQL for the components of a path."""
+    return f"concat({ANCHOR}, {STEPS})".replace("{c}", c)
+
+
+def _resolved(c: str) -> str:
+    """SQL for the components of a path with '..' resolved; '..' at the top is dropped."""
+    up = "slice(kept, 1, greatest(size(kept) - 1, 0))"
+    return f"concat({ANCHOR}, aggregate({STEPS}, cast(array() AS ARRAY<STRING>), (kept, step) -> if(step = '..', {up}, concat(kept, array(step)))))".replace("{c}", c)
+
+
 # name -> (parameters, result type, expression); Catalyst inlines them, no Python runs.
 SQL_FUNCTIONS = {
     "is_valid_url": ("u STRING", "BOOLEAN", f"coalesce(regexp_like(translate(u, {IGNORED!r}, ''), {_raw(VALID_URL)}), false)"),
@@ -35,7 +57,23 @@ SQL_FUNCTIONS = {
         f"coalesce(trim(BOTH {BLANK_LITERAL} FROM regexp_replace(t, "
         + _raw(f"(?U)(?={ANY_BLANK}){ANY_BLANK}*[{LINE_BREAKS} ]{ANY_BLANK}*") + ", ' ')), '')"),
     "normalize_whitespace": ("t STRING", "STRING", SQUEEZED.format(c="t")),
-    "truncate_text": ("t STRING, n INT", "STRING", "CASE WHEN char_length(t) <= n THEN t ELSE concat(left(t, n - 3), '...') END"),
+    "truncate_text": (
+        "t STRING, n INT, suffix STRING DEFAULT '...'", "STRING",
+        "CASE WHEN n < char_length(suffix) THEN raise_error('limit is shorter than the suffix') "
+        "WHEN char_length(t) <= n THEN t ELSE concat(left(t, n - char_length(suffix)), suffix) END"),
+    "sanitize_label": (
+        "t STRING, n INT DEFAULT 60", "STRING",
+        "CASE WHEN char_length({s}) <= n THEN {s} ELSE concat(left({s}, n - 3), '...') END".replace("{s}", SQUEEZED.format(c="""translate(t, '"`', "'")"""))),
+    "safe_filename": ("t STRING", "STRING", f"coalesce(nullif({_whole_characters(SQUEEZED.format(c=f'regexp_replace(t, {_raw(FORBIDDEN)}, {EMPTY})'), 255)}, ''), if(t IS NULL, NULL, 'unnamed'))"),
+    "text_hash": (
+        "t STRING, algorithm STRING DEFAULT 'md5'", "STRING",
+        "CASE algorithm WHEN 'md5' THEN md5(t) WHEN 'sha1' THEN sha1(t) WHEN 'sha256' THEN sha2(t, 256) ELSE raise_error(concat('unsupported hash algorithm: ', algorithm)) END"),
+    "iso_text": ("ts TIMESTAMP_NTZ", "STRING", f'date_format(ts, "{ISO_PATTERN}")'),
+    "is_safe_path": ("path STRING, base STRING", "BOOLEAN", "slice({p}, 1, size({b})) = {b}".replace("{p}", _resolved("path")).replace("{b}", _resolved("base"))),
+    "relative_path": (
+        "path STRING, base STRING", "STRING",
+        "CASE WHEN slice({p}, 1, size({b})) = {b} THEN coalesce(nullif(array_join(slice({p}, size({b}) + 1, greatest(size({p}) - size({b}), 0)), '/'), ''), '.') ELSE path END"
+        .replace("{p}", _lexical("path")).replace("{b}", _lexical("base"))),
     "replace_forbidden": ("t STRING", "STRING", SQUEEZED.format(c=f"regexp_replace(t, {_raw(FORBIDDEN)}, '_')")),
     "hash_name": ("t STRING", "STRING", "concat('item_', left(md5(t), 8))"),
     "from_1601": (
@@ -60,12 +98,6 @@ def parsed_page(html: pd.Series) -> pd.Series:
     return html.map(lambda page: read_markup(page) if page else "")
 
 
-def _whole_characters(text: str, limit: int) -> str:
-    """SQL for the longest prefix of whole characters within ``limit`` bytes."""
-    cuts = ", ".join(f"try_validate_utf8(CAST(substring(encode({text}, 'UTF-8'), 1, {limit - back}) AS STRING))" for back in range(4))
-    return f"CASE WHEN octet_length({text}) <= {limit} THEN {text} ELSE coalesce({cuts}, '') END"
-
-
 class BookmarkNodes:
     """Table function ``bookmark_nodes(doc)``: the nodes of one small export, for lateral joins.
 

@@ -164,6 +164,22 @@ def trailing_load(requests: DataFrame, key: str, us: str, window: int = WINDOW_S
     )
 
 
+def duration_sketches(requests: DataFrame, keys: list[str], us: str, value: str, size: int = 400) -> DataFrame:
+    """A quantile sketch for each key and hour: ``hour`` (from 1970), ``sketch``, ``n``. Sketches are a few kilobytes each and partially aggregated, so the table
+    is kept in place of the requests, and any roll-up is a merge of its rows. Null values count nowhere."""
+    hour = F.floor(F.col(us) / 3_600_000_000).alias("hour")
+    return requests.filter(F.col(value).isNotNull()).groupBy(*keys, hour).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def sketched_quantiles(sketches: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Estimated quantiles of a roll-up of ``duration_sketches``: ``prob``, ``quantile``, ``n``. The share of values up to an estimate differs from ``prob`` by about one over
+    the sketch size, whatever the number of rows; with the size 400, by less than one in a hundred."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    each = [F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("quantile")) for p in probs]
+    return merged.select(*by, F.inline(F.array(*each)), "n").select(*by, "prob", "quantile", "n")
+
+
 def error_report(attempts: DataFrame, key: str) -> DataFrame:
     """Failed attempts by key and class, with the first and last time."""
     bad = classified(attempts).filter(~F.col("outcome_class").isin(OK, REDIRECT))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkatlas.functions.times import epoch_micros
 from linkatlas.operators import fetchlog as L
 from linkatlas.operators.skew import exact_quantiles
 from linkatlas.plans.derive import ATTEMPTS_CTE, REDIRECTS_CTE, attempts, redirects
 from linkatlas.plans.registry import query
+from linkatlas.session import durable
 from linkatlas.sources.tables import table
 
 CLASS_SQL = """CASE WHEN status = 200 AND bytes / 1048576.0 > 5.0 THEN 'too_large' WHEN status = 200 THEN 'ok' WHEN status IN (404, 410) THEN 'gone'
@@ -98,6 +100,25 @@ def durations(spark, sf_dir):
     return plain.join(cuts, "operation")
 
 
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("f7_sketched_durations", f"""SELECT operation, prob, n, true AS close FROM (
+  SELECT event_type AS operation, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT '', count(*) FROM events), (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PROBS)}]) AS prob)""")
+def sketched_durations(spark, sf_dir):
+    """Quantiles of two roll-ups of hourly sketches, per operation and over all, each held against the rows: the shares of values below the estimate, and up to it, must
+    enclose the wanted share to within one in a hundred."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), "value", epoch_micros(F.col("ts")).alias("us"))
+    sketches = durable(L.duration_sketches(events, ["operation"], "us", "value"))
+    found = L.sketched_quantiles(sketches, ["operation"], PROBS).unionByName(
+        L.sketched_quantiles(sketches.withColumn("operation", F.lit("")), ["operation"], PROBS))
+    twice = events.select("operation", "value").unionByName(events.select(F.lit("").alias("operation"), "value"))
+    # Ten estimates an operation, so the join repeats a row ten times and is summed at once.
+    held = twice.join(F.broadcast(found), "operation").groupBy("operation", "prob", "n").agg(
+        F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("upto"))
+    return held.select("operation", "prob", "n", ((F.col("below") <= F.col("prob") + 0.01) & (F.col("upto") >= F.col("prob") - 0.01)).alias("close"))
+
+
 @query("f8_errors", f"""WITH {ATTEMPTS_CTE}, classed AS (SELECT *, {CLASS_SQL} AS outcome_class FROM attempts)
 SELECT host, outcome_class, count(*) AS errors, min(us) AS first_us, max(us) AS last_us FROM classed WHERE outcome_class NOT IN ('ok', 'redirect') GROUP BY 1, 2""")
 def errors(spark, sf_dir):

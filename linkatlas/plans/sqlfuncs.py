@@ -7,12 +7,13 @@ import json
 from pyspark.sql import functions as F
 
 from linkatlas.functions import sql as G
+from linkatlas.functions import text as X
 from linkatlas.functions.times import EPOCH_1601_GAP, epoch_micros
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, exports
 from linkatlas.plans.pages import TEXT
 from linkatlas.plans.registry import query
-from linkatlas.plans.scalars import NOISY_SQL, URL_FORMS_SQL, noisy, url_forms
+from linkatlas.plans.scalars import NAMES_SQL, NOISY_SQL, PATHS_SQL, URL_FORMS_SQL, _paths, names, noisy, url_forms
 from linkatlas.sources.tables import table
 
 
@@ -35,6 +36,32 @@ def sql_url_functions(spark, sf_dir):
     return url_forms(spark, sf_dir).selectExpr("page_id", "form", "is_valid_url(url) AS valid", "extract_domain(url) AS domain")
 
 
+@query("g1_sql_name_functions", f"""WITH {NAMES_SQL}, clean AS (SELECT source, id, name, {Q.squeeze("replace(replace(name, chr(34), chr(39)), chr(96), '')")} AS label,
+  {Q.squeeze("regexp_replace(name, " + Q.quoted(X.FORBIDDEN) + ", '', 'g')")} AS bare FROM names), cut AS (SELECT *, {Q.byte_prefix('bare', 255)} AS file FROM clean)
+SELECT source, id, {Q.truncated('label', 60)} AS label, CASE WHEN length(label) <= 20 THEN label ELSE left(label, 17) || '...' END AS short_label,
+  CASE WHEN file = '' THEN 'unnamed' ELSE file END AS file_name, md5(name) AS md5, sha256(name) AS sha256, CASE WHEN length(name) <= 30 THEN name ELSE left(name, 29) || '…' END AS cut FROM cut""")
+def sql_name_functions(spark, sf_dir):
+    G.register_sql_functions(spark)
+    return names(spark, sf_dir).selectExpr(
+        "source", "id", "sanitize_label(name) AS label", "sanitize_label(name, 20) AS short_label", "safe_filename(name) AS file_name",
+        "text_hash(name) AS md5", "text_hash(name, 'sha256') AS sha256", "truncate_text(name, 30, '…') AS cut")
+
+
+@query("g1_sql_path_functions", f"""WITH {NODES_CTE}, {PATHS_SQL}, flat AS (SELECT *, replace(p, '/./', '/') AS q FROM paths)
+SELECT export_id, node_key, starts_with(CASE WHEN p LIKE '%/../%' THEN regexp_replace(p, '/[^/]*/\\.\\./', '/') ELSE replace(p, '/./', '/') END || '/', '/out/Root/Bookmark Bar/') AS safe,
+  CASE WHEN starts_with(q, '/out/Root/Other/') THEN substr(q, length('/out/Root/Other/') + 1) ELSE p END AS relative FROM flat""")
+def sql_path_functions(spark, sf_dir):
+    G.register_sql_functions(spark)
+    return _paths(spark, sf_dir).selectExpr(
+        "export_id", "node_key", "is_safe_path(p, '/out/Root/Bookmark Bar') AS safe", "relative_path(p, '/out/Root/Other') AS relative")
+
+
+@query("g1_sql_iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso FROM events")
+def sql_iso_time(spark, sf_dir):
+    G.register_sql_functions(spark)
+    return table(spark, sf_dir, "events").selectExpr("event_id", "iso_text(cast(ts AS TIMESTAMP_NTZ)) AS iso")
+
+
 @query("g1_sql_time_functions", """SELECT event_id, epoch_us(ts) AS us, CASE WHEN value * 25 < 60 THEN format('{:.1f} сек', value * 25)
   WHEN value * 25 < 3600 THEN format('{:.1f} мин', value * 25 / 60.0::DOUBLE) ELSE format('{:.1f} час', value * 25 / 3600.0::DOUBLE) END AS shown FROM events""")
 def sql_time_functions(spark, sf_dir):
