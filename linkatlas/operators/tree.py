@@ -27,6 +27,10 @@ TOO_DEEP = "rejected: nested too deep"
 # Digits of an ordinal in a key: as many as the largest long has, so that none is cut.
 PAD = 19
 TOP_KEY = "R"
+# Levels of a tree that come out of a document in one pass.
+PASS = 6
+ROWS = ("array<struct<node_key: string, parent_key: string, kind: string, title: string, url: string, added: string, ordinal: int, depth: int, "
+        "folder_path: array<string>, position: int, children: array<variant>>>")
 NODE_COLUMNS = ["export_id", "node_key", "parent_key", "kind", "title", "url", "date_added", "ordinal", "depth",
                 "folder_path"]
 
@@ -110,13 +114,33 @@ def section_children(docs: DataFrame) -> DataFrame:
     )
 
 
+def _child(node: Column, position: Column) -> Column:
+    return _describe(node, F.lit(UNTITLED), position)
+
+
+def _levels(children: Column, key: Column, path: Column, depth: int, count: int) -> Column:
+    """The rows of ``count`` levels below a folder, each node before what lies below it. Only those of the last level keep their children."""
+    def rows(x: Column) -> Column:
+        is_folder = x["kind"] == "folder"
+        own_key = child_key(key, x["kind"], x["ordinal"])
+        own_path = F.when(is_folder, F.concat(path, F.array(x["title"]))).otherwise(path)
+        rest = x["children"] if count == 1 else F.array().cast("array<variant>")
+        own = F.array(F.struct(
+            own_key.alias("node_key"), key.alias("parent_key"), x["kind"].alias("kind"), x["title"].alias("title"), x["url"].alias("url"), x["added"].alias("added"),
+            x["ordinal"].alias("ordinal"), F.lit(depth).alias("depth"), own_path.alias("folder_path"), x["position"].alias("position"), rest.alias("children")))
+        if count == 1:
+            return own
+        return F.concat(own, F.when(is_folder, _levels(F.transform(x["children"], _child), own_key, own_path, depth + 1, count - 1)).otherwise(F.array().cast(ROWS)))
+
+    return F.flatten(F.transform(ranked_children(children), rows))
+
+
 def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Recursive flatten of ``(export_id, doc)`` into ``(nodes, rejected)``.
 
-    One round per level. Every round is narrow: child lists are numbered inside their own row and
-    exploded, nothing is shuffled. Only folders with children go to the next round, which starts from
-    a checkpoint, so no level is parsed twice. An export deeper than ``max_depth`` is turned away whole, never cut: it has
-    no nodes and one rejected row per folder that goes too deep.
+    One round for every ``PASS`` levels: a document is opened once, and the rows of these levels come out of it in one narrow pass; child lists are numbered inside
+    their own row, nothing is shuffled. Only what lies deeper goes to the next round, which starts from a checkpoint. An export deeper than ``max_depth`` is turned
+    away whole, never cut: it has no nodes and one rejected row per folder that goes too deep.
     """
     top = docs.select(
         "export_id",
@@ -131,39 +155,29 @@ def flatten_exports(docs: DataFrame, max_depth: int = 1000) -> tuple[DataFrame,
         F.array(F.lit(TOP)).alias("folder_path"),
     )
     nodes, rejected = top, None
-    frontier = section_children(docs)
-    for depth in range(1, max_depth + 1):
-        level = durable(
-            frontier.select("export_id", "parent_key", "parent_path", F.inline(ranked_children(F.col("children"))))
-        )
+    frontier, depth = section_children(docs), 1
+    while depth <= max_depth:
+        count = min(PASS, max_depth - depth + 1)
+        level = durable(frontier.select("export_id", F.inline(_levels(F.col("children"), F.col("parent_key"), F.col("parent_path"), depth, count))))
         kept = level.filter(F.col("kind").isin("folder", "url"))
-        path = F.when(
-            F.col("kind") == "folder", F.concat("parent_path", F.array("title"))
-        ).otherwise(F.col("parent_path"))
         nodes = nodes.unionByName(kept.select(
-            "export_id",
-            child_key(F.col("parent_key"), F.col("kind"), F.col("ordinal")).alias("node_key"),
-            "parent_key", "kind", "title",
+            "export_id", "node_key", "parent_key", "kind", "title",
             F.when(F.col("kind") == "url", F.col("url")).alias("url"),
             F.when(F.col("kind") == "url", from_1601(F.col("added"))).alias("date_added"),
-            "ordinal",
-            F.lit(depth).alias("depth"),
-            path.alias("folder_path"),
+            "ordinal", "depth", "folder_path",
         ))
         dropped = level.filter(~F.col("kind").isin("folder", "url")).select(
-            "export_id", "parent_key", "position", "title", F.col("kind").alias("reason"),
-            F.col("parent_path").alias("folder_path"),
+            "export_id", "parent_key", "position", "title", F.col("kind").alias("reason"), "folder_path",
         )
         rejected = dropped if rejected is None else rejected.unionByName(dropped)
         deeper = level.filter((F.col("kind") == "folder") & (F.size("children") > 0))
         if deeper.isEmpty():
             return nodes, rejected
         frontier = deeper.select(
-            "export_id",
-            child_key(F.col("parent_key"), F.col("kind"), F.col("ordinal")).alias("parent_key"),
-            F.concat("parent_path", F.array("title")).alias("parent_path"),
-            F.transform("children", lambda c, i: _describe(c, F.lit(UNTITLED), i)).alias("children"),
+            "export_id", F.col("node_key").alias("parent_key"), F.col("folder_path").alias("parent_path"),
+            F.transform("children", _child).alias("children"),
         )
+        depth += count
     too_deep = frontier.select("export_id").distinct()
     reasons = frontier.select("export_id", "parent_key", F.lit(0).alias("position"), F.element_at("parent_path", -1).alias("title"),
                               F.lit(TOO_DEEP).alias("reason"), F.col("parent_path").alias("folder_path"))

@@ -11,7 +11,7 @@ from linkatlas.operators.gates import gated
 from linkatlas.operators.skew import salted_join
 from linkatlas.plans import sqltext as Q
 from linkatlas.plans.derive import NODES_CTE, bookmarks, link_pages, nodes
-from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, STATUS_SQL, page_forms
+from linkatlas.plans.pages import ERROR_SQL, FORMS, FORMS_SQL, SMALL_MB, STATUS_SQL, page_forms
 from linkatlas.plans.registry import query
 from linkatlas.session import scratch_path
 from linkatlas.sources.documents import file_hashes, write_document_files
@@ -198,7 +198,13 @@ def assemble_outcomes(spark, sf_dir):
 
     The text is read once per page; only then it is joined to the bookmarks, of which many may share a page.
     """
-    text = H.with_text(page_forms(spark, sf_dir)).select("url", "form", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "text")
+    # The page as it is and the size gate share one text; forms without markup have none.
+    read = H.with_text(page_forms(spark, sf_dir).filter("form IN (0, 2)")).select("url", "form", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "text")
+    form = lambda i, size, text: F.struct(F.lit(i).alias("form"), size.alias("size"), text.alias("text"))
+    own, gate, none = (F.col("size"), F.col("text")), F.col("size") <= SMALL_MB * 1_048_576, (F.lit(0), F.lit(""))
+    small = (F.when(gate, F.col("size")).otherwise(0), F.when(gate, F.col("text")).otherwise(""))
+    forms = F.when(F.col("form") == 0, F.array(form(0, *own), form(1, *none), form(3, *small), form(4, *none))).otherwise(F.array(form(2, *own)))
+    text = read.select("url", F.inline(forms))
     tried = bookmarks(spark, sf_dir, titled=False).select("export_id", "node_key", "url", F.explode(F.sequence(F.lit(0), F.lit(FORMS))).alias("form"))
     joined = salted_join(tried, text, ["url", "form"], "left", ["export_id", "node_key"])
     shaped = joined.withColumn("html", F.when(F.coalesce("size", F.lit(0)) > 0, "x"))
