@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,6 +51,15 @@ def texts(docs: DataFrame, id_col: str, text_col: str, partitions: int | None =
     return out if partitions is None else out.repartition(partitions)
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system. Python workers live on from stage to stage, and what their allocators keep
+    counts against the executor beside the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterable[pa.RecordBatch], chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same batches cut where their texts would pass ``chars`` bytes, so that work arrays stay small."""
     for batch in it:
@@ -66,6 +76,7 @@ def batches(it: Iterable[pa.RecordBatch], chars: int = 8 << 20) -> Iterator[pa.R
         for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
