@@ -10,18 +10,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkatlas.llm.components import components
-from linkatlas.llm.text import MIX_C, batches, gram_hashes, mix, signed, texts, word_hashes, words_of
-from linkatlas.session import durable
+from linkatlas.llm.text import MIX_C, batches, gram_hashes, mix, release, signed, texts, word_hashes, words_of
+from linkatlas.operators.skew import salted_join
+from linkatlas.session import durable, scratch_path
 
 SLOTS = 128
 MISS = 1e-6
 TARGET = 400
-HUB_BLOCK = 512
-MORE_HUBS = 64
 
 
 def bands_for(percent: int, slots: int = SLOTS, miss: float = MISS) -> tuple[int, int]:
@@ -133,63 +132,20 @@ def _verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                         b.append(member)
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
     return verify
 
 
-def _linked(own: np.ndarray, sizes: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    return (common > 0) & (100 * common >= percent * (len(own) + sizes - common))
-
-
-class _Hubs:
-    """The sets of some hubs, ready to count what a set has in common with each: a table of flags, or runs of owners where that would be large."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
-        self.values, at = np.unique(flat, return_inverse=True)
-        self.flags = None
-        if len(self.values) * len(sets) <= 1 << 25:
-            self.flags = np.zeros((len(self.values), len(sets)), bool)
-            self.flags[at, owner] = True
-        else:
-            order = np.argsort(at, kind="stable")
-            self.owner, self.begin = owner[order], np.searchsorted(at[order], np.arange(len(self.values) + 1))
-
-    def common(self, own: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.values, own)
-        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == own)]
-        if self.flags is not None:
-            return self.flags[at].sum(axis=0)
-        return np.bincount(np.concatenate([self.owner[self.begin[i]:self.begin[i + 1]] for i in at.tolist()] or [np.zeros(0, np.int64)]), minlength=len(self.sizes))
-
-
-def _block_verifier(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket, block and chunk, the hubs first. Only links leave. A pair is tested in the least bucket that both share."""
-        key, rows, hubs = None, [], None
+def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in it:
-            a, b = [], []
-            for bucket, block, chunk, is_member, node, component, rank, mine, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, block, chunk) != key:
-                    key, rows, hubs = (bucket, block, chunk), [], None
-                own = shingle_set(unpack.decompress(packed).decode(), k)
-                if not is_member:
-                    rows.append((own, node, component, rank, set(mine)))
-                    continue
-                if not rows:
-                    continue
-                hubs = hubs or _Hubs([r[0] for r in rows])
-                fits = _linked(own, hubs.sizes, hubs.common(own), percent)
-                for i in np.flatnonzero(fits).tolist():
-                    _, other, other_in, other_rank, others = rows[i]
-                    if other_in != component and (rank is None or rank > other_rank) and bucket == min(others.intersection(mine)):
-                        a.append(other)
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingle_set(unpack.decompress(packed.as_py()).decode(), k)
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([signed(own)], pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    return verify
+    return sets
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
@@ -204,24 +160,40 @@ def _verified(pairs: DataFrame, packed: DataFrame, k: int, percent: int, n: int)
     return met.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
 
 
-def _verified_blocks(rows: DataFrame, done: int, hubs: int, packed: DataFrame, k: int, percent: int, n: int) -> DataFrame:
-    """Links between the hubs of ranks ``done + 1`` to ``hubs`` of each bucket and its members of other components. Members travel once per
-    block of hubs, and no pair is a row: a task holds a block of hubs and streams a chunk of members past it."""
-    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-    mine = rows.groupBy("node").agg(F.collect_list("bucket").alias("mine"))
-    full = rows.join(mine, "node")
-    ranked = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= hubs).select("bucket", "node", "rank")
-    full = full.join(ranked, ["bucket", "node"], "left")
-    fan = F.ceil(F.col("size") / (5 * TARGET)).cast("int")
-    block = ((F.col("rank") - done - 1) / HUB_BLOCK).cast("int")
-    blocks = F.ceil((F.least(F.col("size"), F.lit(hubs)) - done) / HUB_BLOCK).cast("int")
-    some = ["bucket", "block", "chunk", "is_member", "node", "component", "rank", "mine"]
-    as_hub = full.filter(F.col("rank") > done).withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), fan - 1)))
-    as_member = full.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("chunk", F.pmod(F.xxhash64("node"), fan).cast("int"))
-    both = as_hub.withColumn("is_member", F.lit(False)).select(*some).unionByName(as_member.withColumn("is_member", F.lit(True)).select(*some))
-    met = both.join(packed.withColumnRenamed("doc_id", "node"), "node").select(*some, "packed")
-    dealt = met.repartition(n, "bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "is_member")
-    return dealt.mapInArrow(_block_verifier(k, percent), "a bigint, b bigint")
+def _overlap(n: str, other: str, percent: int) -> Column:
+    """The least number of common shingles with which sets of these sizes reach the similarity, in whole numbers."""
+    return F.expr(f"(({n} + {other}) * {percent} + {99 + percent}) div {100 + percent}")
+
+
+def _likely_pairs(open_rows: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(hub, member)``: among nodes of open buckets, every pair from different components that may reach the similarity; exact, nothing likely is left out.
+
+    A shingle that only one component holds cannot be common to such a pair. Of the others, the rarest come first in every set; if ``a`` shingles must be
+    common at least, then two sets of ``c`` such shingles each share one among their first ``c - a + 1``, and what is left behind that place must still suffice.
+    So a row follows a rare shingle that two components share, and a family of near copies around one text makes few.
+    """
+    nodes = open_rows.groupBy("node").agg(F.first("component").alias("component"), F.min("least").alias("least"))
+    path = scratch_path(packed.sparkSession, "sets")
+    packed.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "packed").mapInArrow(
+        _sets(k), "node bigint, n bigint, shingles array<bigint>").write.parquet(path)
+    sets = packed.sparkSession.read.parquet(path)
+    each = sets.join(nodes, "node").select("node", "component", "n", "least", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    shared = durable(shared.select("shingle", "count"))
+    known = salted_join(each, shared.withColumnRenamed("count", "held"), ["shingle"], "inner", ["node"], sizes=shared)
+    own = known.groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.first("least").alias("least"),
+                                    F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    # No partner in a shared bucket is smaller than `least`, and none that is similar enough is smaller than the share of this set.
+    own = own.withColumn("c", F.size("s").cast("bigint")).withColumn("small", F.greatest("least", F.expr(f"(n * {percent} + 99) div 100")))
+    own = own.withColumn("first", F.col("c") - _overlap("n", "small", percent) + 1).filter("first > 0")
+    some = ["node", "component", "n", "c", "place"]
+    prefix = own.select("node", "component", "n", "c", F.posexplode(F.slice("s", F.lit(1), F.col("first").cast("int"))).alias("place", "x"))
+    prefix = durable(prefix.select(*some, F.col("x.shingle").alias("shingle")))
+    a, b = (prefix.select("shingle", *[F.col(x).alias(x + side) for x in some]) for side in "ab")
+    enough = (F.col("ca") - F.col("placea") >= F.col("least")) & (F.col("cb") - F.col("placeb") >= F.col("least"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("componenta") < F.col("componentb")) & near)
+    return met.withColumn("least", _overlap("na", "nb", percent)).filter(enough).select(F.col("nodea").alias("hub"), F.col("nodeb").alias("member")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -232,11 +204,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Each set gets a SuperMinHash signature; equal sets become one class, named by its least id.
     2. Classes that share a band meet in a bucket. Buckets with the same members count once.
-    3. In each bucket the members with the largest sum of bucket sizes are hubs: the first hub is compared
-       with all members, on whole sets. Where a bucket then still spans several components, 64 times as many
-       hubs follow, and so on, until each pair of a bucket is tested or lies in one component. So the links between
-       different texts decide every component, yet a group of near copies costs one comparison each. Later hubs are held in
-       blocks that members are streamed past, so that no table of pairs is made.
+    3. In each bucket the member with the largest sum of bucket sizes is the hub; it is compared with all members, on whole sets, so that
+       a group of near copies costs one comparison each. Where a bucket then still spans several components, an exact prefix filter gives the
+       pairs of its members that can reach the similarity at all, and those are compared too. So every pair of a bucket is compared, lies in
+       one component, or is ruled out by what its sets cannot have in common.
     4. Links are grouped by union-find inside partitions and star steps across them.
 
     A pair at the threshold is overlooked by the bands with probability 1e-6 at most; all else is exact up to
@@ -249,32 +220,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = texts(docs, id_col, text_col)
     signed_docs = durable(slim.mapInArrow(_signer(k, bands, rows), "doc_id bigint, n bigint, one bigint, two bigint, bands array<bigint>"))
     full = signed_docs.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
-    named = full.join(classes, ["n", "one", "two"])
-    in_bands = named.filter("doc_id = node").select("node", F.explode("bands").alias("bucket"))
-    shape = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+    keys = ["n", "one", "two"]
+    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("count"))
+    named = salted_join(full, classes.select(*keys, "node"), keys, "inner", ["doc_id"], sizes=classes.select(*keys, "count"))
+    in_bands = named.filter("doc_id = node").select("node", "n", F.explode("bands").alias("bucket"))
+    shape = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.min("node").alias("lo"), F.max("node").alias("hi"),
                                            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
-    shape = shape.filter("lo < hi").groupBy("size", "lo", "hi", "x", "y").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("alike"))
-    members = durable(in_bands.join(shape.select("bucket", "size", "alike"), "bucket").distinct())
+    shape = shape.filter("lo < hi").groupBy("size", "least", "lo", "hi", "x", "y").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("alike"))
+    members = durable(in_bands.select("node", "bucket").join(shape.select("bucket", "size", "least", "alike"), "bucket").distinct())
     weights = members.groupBy("node").agg(F.sum(F.col("size") * F.col("alike")).alias("weight"))
     members = durable(members.drop("alike").join(weights, "node"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     packed = durable(slim.join(wanted, "doc_id").mapInArrow(_pack, "doc_id bigint, packed binary"))
 
-    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-    best = members.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("bucket", F.col("node").alias("hub"))
-    pairs = members.join(best, "bucket").filter("node <> hub").select("hub", F.col("node").alias("member")).distinct()
-    links, done = durable(_verified(durable(pairs), packed, k, percent, n)), 1
-    while True:
-        found = components(links)
-        tied = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = tied.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        open_rows = durable(tied.filter(F.col("size") > done + 1).join(split, "bucket"))
-        if open_rows.isEmpty():
-            break
-        hubs = done * MORE_HUBS
-        links = durable(links.unionByName(_verified_blocks(open_rows, done, hubs, packed, k, percent, n)))
-        done = hubs
+    best = members.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    met = durable(members.join(best, "bucket").filter("node <> hub").select("bucket", "node", "least", "hub"))
+    pairs = met.select("hub", F.col("node").alias("member")).distinct()
+    links = durable(_verified(durable(pairs), packed, k, percent, n))
+    found = components(links)
+    # Every pair with a hub is settled; what is open are the other members of a bucket, where they lie in several components.
+    tied = met.drop("hub").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = tied.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    open_rows = durable(tied.join(split, "bucket").select("node", "component", "least"))
+    likely = durable(_likely_pairs(open_rows, packed, k, percent))
+    found = components(links.unionByName(_verified(likely, packed, k, percent, n)))
     reach = named.select("doc_id", "n", "one", "two", "node").join(found, "node", "left").select(
         "doc_id", "n", F.coalesce("component", "node").alias("component_id"))
     rest = signed_docs.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
