@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkatlas.llm.language import held_out
+from linkatlas.llm.minhash import shingle_set
 from linkatlas.llm.text import batches
 from linkatlas.llm.wordgrid import Letters, WordGrid
 from linkatlas.session import durable
@@ -21,7 +22,7 @@ FOLDS = 3
 STEM_LENGTHS = range(3, 9)
 # How many deviations the bound of the log odds lies below their estimate, and the least bound of a term.
 DEVIATIONS = 1.64
-LEAST = 1.2
+LEAST = 1.1
 # A term needs this many toxic texts, and this share of them, so that chance finds do not grow with the table.
 FEWEST, SHARE = 3, 0.002
 # Letters of all terms together, and states that edits of them may take, which bound the automaton and its broadcast.
@@ -30,6 +31,8 @@ STATES = 12_000
 STATES_A_LETTER = (0, 8, 40)
 CANDIDATES = 20_000
 NEAR = 8
+# Terms up to this length must be met as they are.
+PLAIN = 3
 KINDS = 3
 EXACT, FUZZY, STEM = range(KINDS)
 # Marks that open or close a quotation.
@@ -38,7 +41,7 @@ QUOTES = '"“”„«»‹›‟「」'
 
 class Lexicon:
     """A trie over terms and stems, and the automaton of all words within the edit distance that a term allows: none up to
-    four letters, one up to nine, two beyond. A stem accepts any word that begins with it. Once the edits of the terms before it take ``states``, a term allows none."""
+    ``PLAIN`` letters, one up to nine, two beyond. A stem accepts any word that begins with it. Once the edits of the terms before it take ``states``, a term allows none."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], states: int = STATES):
         self.terms, self.stems = terms, stems
@@ -72,7 +75,7 @@ class Lexicon:
 
     @staticmethod
     def edits(word: str) -> int:
-        return 0 if len(word) <= 4 else 1 if len(word) <= 9 else 2
+        return 0 if len(word) <= PLAIN else 1 if len(word) <= 9 else 2
 
     def _close(self, state: dict[int, int]) -> frozenset:
         """Adds what is reached by leaving out letters of the lexicon; keeps the least edits per node."""
@@ -228,6 +231,14 @@ def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([cell] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["term", "cell", "n"])
 
 
+def _families(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash among the runs of five words of each text: near copies mostly have the same one. A text without words is a family of its own."""
+    for batch in batches(it, 2 << 20):
+        least = [int(s.min()) if len(s := shingle_set(t, 5)) else None for t in batch.column(2).to_pylist()]
+        own = pa.array([None if x is None else x - (1 << 63) for x in least], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["_id", "toxic", "family"])
+
+
 def evidence(p: Column, n: Column, pos: int, neg: int) -> Column:
     """A lower bound of the smoothed log odds of a term that ``p`` of ``pos`` toxic texts and ``n`` of ``neg`` others have. It asks for
     a clear ratio, not for many texts, so a term of a small table or of a rare language counts as well."""
@@ -277,15 +288,20 @@ def learn_lexicons(labelled: DataFrame) -> list[Lexicon]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """Learns from the labelled documents that are not held out: the lexicon from all of them, the weights of what is found from at
     most ``sample`` of each label, those of least id hash. There each document is read with the lexicon of the other folds, so that
-    terms which only happened to be rare do not count twice."""
+    terms which only happened to be rare do not count twice. Of near copies with one label only the least id counts, and a family of them is in one fold."""
     known = durable(labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic")))
-    fold = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(FOLDS)).cast("int")
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     # Labels are sent to all texts while they are few; many are joined as Spark decides.
     sent = F.broadcast(known) if known.count() <= SENT else known
-    lexicons = learn_lexicons(slim.join(sent, "_id").select((2 * fold + F.col("toxic")).alias("cell"), "text"))
+    kind = dict(known.dtypes)["_id"]
+    told = durable(slim.join(sent, "_id").select("_id", "toxic", "text").mapInArrow(_families, f"_id {kind}, toxic int, family bigint"))
+    family = F.coalesce("family", F.xxhash64("_id"))
+    once = told.groupBy(family.alias("family"), "toxic").agg(F.min("_id").alias("_id"))
+    once = durable(once.select("_id", "toxic", F.pmod(F.xxhash64("family", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")))
+    sent = F.broadcast(once) if once.count() <= SENT else once
+    lexicons = learn_lexicons(slim.join(sent, "_id").select((2 * F.col("fold") + F.col("toxic")).alias("cell"), "text"))
     order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample))
+    chosen = once.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(once.filter("toxic = 0").orderBy(*order).limit(sample))
     shared = docs.sparkSession.sparkContext.broadcast((lexicons[:-1], Letters(True)))
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x[at] = features([texts[i] for i in at], own[k], letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = slim.join(F.broadcast(chosen), "_id").select("toxic", fold.alias("fold"), "text").mapInArrow(measure, "toxic int, x array<double>").toArrow()
+    rows = slim.join(F.broadcast(chosen), "_id").select("toxic", "fold", "text").mapInArrow(measure, "toxic int, x array<double>").toArrow()
     y = rows.column("toxic").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Scorer(lexicons[-1], np.append(np.zeros(8), -4.0))
