@@ -6,16 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkatlas.llm.text import batches, mix
 from linkatlas.llm.wordgrid import Letters, WordGrid
+from linkatlas.operators.skew import top_per_group
 from linkatlas.session import durable
 
 SAMPLE = 400
 ROUNDS = 3
-LONGEST_PIECE = 10
+# Words up to this many letters are summed together, in arrays of one width; longer ones one by one, whole.
 LONGEST_RUN = 32
 UNSEEN = 1e-9
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -26,19 +27,19 @@ def held_out(id_col: str) -> F.Column:
 
 
 def vocabulary_pieces(path: str) -> list[str]:
-    """The word pieces of a sentencepiece model, without its control and byte pieces, lower case, at most ``LONGEST_PIECE`` characters."""
+    """The word pieces of a sentencepiece model, without its control and byte pieces, lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     wanted = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return sorted({p for i in wanted if 0 < len(p := model.id_to_piece(i).lower()) <= LONGEST_PIECE})
+    return sorted({p for i in wanted if (p := model.id_to_piece(i).lower())})
 
 
 class Pieces:
     """Finds pieces by the hash of their characters: an open-addressing table that arrays of hashes are looked up in at once."""
 
     def __init__(self, pieces: list[str]):
-        self.count = len(pieces)
+        self.count, self.longest = len(pieces), max(map(len, pieces), default=1)
         hashes = np.array([self.of(np.array([ord(c) for c in p], np.uint64)) for p in pieces], np.uint64)
         self.mask = np.uint64((1 << 20) - 1)
         self.keys, self.ids, self.depth = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32), 1
@@ -91,7 +92,7 @@ def lattice(chars: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> list[tupl
     for end in range(1, int(lengths.max(initial=0)) + 1):
         rows = np.flatnonzero(lengths >= end)
         rolled, power = np.zeros(len(rows), np.uint64), np.array([1], np.uint64)
-        for n in range(1, min(end, LONGEST_PIECE) + 1):
+        for n in range(1, min(end, pieces.longest) + 1):
             rolled = rolled + (chars[rows, end - n] + np.uint64(1)) * power
             power = power * BASE
             found = pieces.find(rolled)
@@ -126,6 +127,61 @@ def expected_counts(places: list, lengths: np.ndarray, weights: np.ndarray, prob
     return counts
 
 
+def _places(word: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All piece places of one word of any length (its mark first): ends, lengths and piece numbers, by end."""
+    ends, sizes, found = [], [], []
+    rolled, power = np.zeros(len(word), np.uint64), np.array([1], np.uint64)
+    for n in range(1, min(len(word), pieces.longest) + 1):
+        # At place i stands the hash of the n characters that end there.
+        rolled = rolled[1 if n > 1 else 0:] + (word[:len(word) - n + 1] + np.uint64(1)) * power
+        power = power * BASE
+        ids = pieces.find(rolled)
+        if n == 1:
+            ids[ids < 0] = pieces.count
+        hit = np.flatnonzero(ids >= 0)
+        ends.append(hit + n)
+        sizes.append(np.full(len(hit), n))
+        found.append(ids[hit])
+    ends, sizes, found = map(np.concatenate, (ends, sizes, found))
+    order = np.lexsort((sizes, ends))
+    return ends[order], sizes[order], found[order]
+
+
+def _log_sums(places: tuple[np.ndarray, np.ndarray, np.ndarray], length: int, logs: np.ndarray, backward: bool = False) -> np.ndarray:
+    """Logarithms of the sums over all segmentations up to each place of one word (from each place on, ``backward``), one column a model."""
+    ends, sizes, found = places
+    at, source = (ends - sizes, ends) if backward else (ends, ends - sizes)
+    order = np.argsort(at, kind="stable")
+    at, source, value = at[order], source[order], logs[found[order]]
+    out = np.full((length + 1, logs.shape[1]), -np.inf)
+    out[length if backward else 0] = 0
+    cuts = np.searchsorted(at, np.arange(length + 2))
+    for i in range(length - 1, -1, -1) if backward else range(1, length + 1):
+        part = slice(cuts[i], cuts[i + 1])
+        terms = out[source[part]] + value[part]
+        top = terms.max(axis=0)
+        out[i] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return out
+
+
+def long_log_sums(word: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum over all segmentations of one word, for each model."""
+    return _log_sums(_places(word, pieces), len(word), np.log(probs))[-1]
+
+
+def long_expected_counts(word: np.ndarray, pieces: Pieces, probs: np.ndarray, weight: float) -> np.ndarray:
+    """``expected_counts`` of one word of any length; ``probs`` has one model."""
+    places, logs = _places(word, pieces), np.log(probs)
+    alpha, beta = (_log_sums(places, len(word), logs, backward)[:, 0] for backward in (False, True))
+    ends, sizes, found = places
+    return np.bincount(found, weight * np.exp(alpha[ends - sizes] + logs[found, 0] + beta[ends] - alpha[-1]), pieces.count + 1)
+
+
+def _marked(grid: WordGrid, i: int) -> np.ndarray:
+    """The characters of one word behind the mark of its beginning."""
+    return np.concatenate(([np.uint64(ord("▁"))], grid.points[grid.start[i]:grid.start[i] + grid.length[i]].astype(np.uint64)))
+
+
 class Model:
     """Languages and the probability of each piece in each."""
 
@@ -139,14 +195,18 @@ class Model:
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if self.finder is None:
             self.finder = Pieces(self.pieces)
-        grid = WordGrid(texts, self.letters, LONGEST_RUN)
+        grid = WordGrid(texts, self.letters)
         n = len(self.languages)
         if not n or not len(grid.start):
             return ["und"] * len(texts), np.zeros(len(texts))
-        chars, lengths, row = word_rows(grid)
-        alpha = forward(lattice(chars, lengths, self.finder), len(lengths), int(lengths.max()), self.probs)
+        long = grid.length > LONGEST_RUN
+        short = grid.only(~long)
+        chars, lengths, row = word_rows(short)
+        alpha = forward(lattice(chars, lengths, self.finder), len(lengths), int(lengths.max(initial=0)), self.probs)
         logs = np.log(alpha[lengths, np.arange(len(lengths))] + 1e-300)
-        total = np.stack([np.bincount(grid.doc, logs[row, i], len(texts)) for i in range(n)], axis=1)
+        total = np.stack([np.bincount(short.doc, logs[row, i], len(texts)) for i in range(n)], axis=1).astype(float)
+        for i in np.flatnonzero(long):
+            total[grid.doc[i]] += long_log_sums(_marked(grid, i), self.finder, self.probs)
         total -= total.max(axis=1, keepdims=True)
         share = np.exp(total)
         share /= share.sum(axis=1, keepdims=True)
@@ -163,14 +223,14 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     pieces = vocabulary_pieces(path)
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.select("_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample).select("_id", "lang").distinct()
+    # A language may own most documents, so its ids are thinned in buckets first.
+    chosen = top_per_group(known.select("_id", "lang"), ["lang"], [F.xxhash64("_id"), F.col("_id")], sample, ["_id"], "at").select("_id", "lang").distinct()
     letters = Letters(False)
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 2 << 20):
             langs = batch.column(0).to_pylist()
-            grid = WordGrid(batch.column(1).to_pylist(), letters, LONGEST_RUN)
+            grid = WordGrid(batch.column(1).to_pylist(), letters)
             found = [grid.points[s:s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(grid.start.tolist(), grid.length.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in grid.doc.tolist()], pa.string()), pa.array(found, pa.string())], ["lang", "word"])
 
@@ -191,10 +251,14 @@ def fit(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                     own = np.flatnonzero(langs == lang)
                     for at in range(0, len(own), 20_000):
                         part = own[at:at + 20_000]
-                        grid = WordGrid([found[j] for j in part], letters, LONGEST_RUN)
-                        chars, lengths, row = word_rows(grid)
-                        weights = np.bincount(row, n[part][grid.doc], len(lengths))
+                        grid = WordGrid([found[j] for j in part], letters)
+                        long = grid.length > LONGEST_RUN
+                        short = grid.only(~long)
+                        chars, lengths, row = word_rows(short)
+                        weights = np.bincount(row, n[part][short.doc], len(lengths))
                         totals[:, i] += expected_counts(lattice(chars, lengths, finder), lengths, weights, model.probs[:, [i]], len(model.pieces))
+                        for j in np.flatnonzero(long):
+                            totals[:, i] += long_expected_counts(_marked(grid, j), finder, model.probs[:, [i]], float(n[part][grid.doc[j]]))
             piece, lang = np.nonzero(totals)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(totals[piece, lang])], ["piece", "lang", "n"])
 
@@ -221,7 +285,7 @@ def identified(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A word's probability in a language is the sum over all ways to cut it into pieces of a public vocabulary of the products of the
     pieces' probabilities, by the forward algorithm; the whole text's is the product over its words. ``score`` is the share of the
     language among all (even odds before). A text that is null or has no letter is ``und`` with score 0, as are all
-    texts when no row can be learned from. Runs of over 32 letters count as several. A null id counts as held out; repeated rows
+    texts when no row can be learned from. A run of letters is one word, however long. A null id counts as held out; repeated rows
     get a row each. Scoring needs no shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, path, id_col, text_col, lang_col, sample))

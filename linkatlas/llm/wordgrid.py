@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from copy import copy
 
 import numpy as np
 
@@ -42,3 +43,10 @@ class WordGrid:
         self.doc = np.searchsorted(ends, start, side="right")
         self.docs = len(texts)
         self.words = np.bincount(self.doc, minlength=self.docs)
+
+    def only(self, chosen: np.ndarray) -> "WordGrid":
+        """The same texts with some of their words."""
+        out = copy(self)
+        out.start, out.length, out.doc = self.start[chosen], self.length[chosen], self.doc[chosen]
+        out.words = np.bincount(out.doc, minlength=out.docs)
+        return out
