@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkatlas.llm.text import batches, mix, texts
@@ -41,7 +42,14 @@ def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(encoder, length: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def id_type(source: str) -> str:
+    """The narrowest unsigned kind that holds every id of a vocabulary (the text of a ``tokenizer.json``)."""
+    spec = json.loads(source)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def _sequences(encoder, length: int, end: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The ids of a task's documents one after the other, each closed by ``end``, cut to ``length``; the last may be shorter."""
     stop = np.array([end], "<u4").tobytes()
 
@@ -52,7 +60,7 @@ def _sequences(encoder, length: int, end: int) -> Callable[[Iterator[pa.RecordBa
         def rows(chunks: list[bytes]) -> pa.RecordBatch:
             columns = [pa.array([part] * len(chunks), pa.int32()), pa.array(range(nth, nth + len(chunks)), pa.int64()),
                        pa.array([len(c) // 4 for c in chunks], pa.int32()), pa.array([zlib.crc32(c) for c in chunks], pa.int64()),
-                       pa.array([press.compress(np.frombuffer(c, "<u4").astype("<u2").tobytes()) for c in chunks], pa.binary())]
+                       pa.array([press.compress(np.frombuffer(c, "<u4").astype(kind).tobytes()) for c in chunks], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "nth", "n_tokens", "ids_crc32", "packed"])
 
         for batch in batches(it):
@@ -68,8 +76,9 @@ def _sequences(encoder, length: int, end: int) -> Callable[[Iterator[pa.RecordBa
     return cut
 
 
-def _writer(folder: str, length: int, per_shard: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    stride = 2 * length
+def _writer(folder: str, length: int, per_shard: int, end: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = np.dtype(kind).itemsize
+    stride = width * length
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by slot, whole shards to a task. A shard is written under another name and then moved, so that
@@ -91,7 +100,7 @@ def _writer(folder: str, length: int, per_shard: int, end: int) -> Callable[[Ite
                     draft = f"{base}/_draft-{shard:08d}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(draft)
                 ids = unpack.decompress(packed)
-                sink.write(ids + np.array([end], "<u2").tobytes() * ((stride - len(ids)) // 2))
+                sink.write(ids + np.array([end], kind).tobytes() * ((stride - len(ids)) // width))
             slots = batch.column("slot").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("slot"), batch.column("sequence_id"), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), batch.column("n_tokens"), batch.column("ids_crc32")],
@@ -109,15 +118,16 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: int, id_col: str
     The ids of each document and the id ``end`` make a stream per task, cut to sequences of ``length``; a task's last one is padded. The
     sequences are stored, compressed, so that their numbers hold when a task is lost. One count per task gives every
     sequence its number, and a keyed Feistel permutation turns the number into a slot, in place of a sort by random keys. Slots are range-partitioned, whole shards to a task;
-    sequence ``slot % per_shard`` of a shard begins at that number times ``2 * length`` bytes, 16 bits an id. So a reader goes on
-    from any slot by one seek. ``folder`` must be reachable by all executors (a URI that pyarrow can open).
+    sequence ``slot % per_shard`` of a shard begins at that number times ``length`` ids, 16 bits an id, or 32 where the vocabulary has ids beyond. So a reader goes on
+    from any slot by one seek (``read_shards``); ``manifest.json`` beside the shards names their measures. ``folder`` must be reachable by all executors (a URI that pyarrow can open).
 
     A null text counts as empty: its ``end`` alone. Repeated rows and null ids are written like others. An empty table writes nothing.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoder = shared_encoder(spark, path, WordEncoder)
-    made = durable(texts(docs, id_col, text_col).mapInArrow(_sequences(encoder, length, end), "part int, nth bigint, n_tokens int, ids_crc32 bigint, packed binary"))
+    kind = id_type(encoder.value.source)
+    made = durable(texts(docs, id_col, text_col).mapInArrow(_sequences(encoder, length, end, kind), "part int, nth bigint, n_tokens int, ids_crc32 bigint, packed binary"))
     per_task = sorted((r["part"], r["count"]) for r in made.groupBy("part").count().collect())
     bases, size = np.zeros(max([p for p, _ in per_task], default=0) + 1, np.int64), 0
     for part, count in per_task:
@@ -132,5 +142,46 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: int, id_col: str
     placed = made.mapInArrow(place, "slot bigint, sequence_id bigint, n_tokens int, ids_crc32 bigint, packed binary")
     whole = placed.withColumn("shard", F.expr(f"slot div {per_shard}"))
     dealt = whole.repartitionByRange(min(parts, max(1, -(-size // per_shard))), "shard").sortWithinPartitions("slot").drop("shard")
-    uri = folder if "://" in folder else "file://" + folder
-    return durable(dealt.mapInArrow(_writer(uri, length, per_shard, end), "slot bigint, sequence_id bigint, shard bigint, byte_offset bigint, n_tokens int, ids_crc32 bigint"))
+    uri = _uri(folder)
+    written = durable(dealt.mapInArrow(_writer(uri, length, per_shard, end, kind), "slot bigint, sequence_id bigint, shard bigint, byte_offset bigint, n_tokens int, ids_crc32 bigint"))
+    store, base = fs.FileSystem.from_uri(uri)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/manifest.json") as out:
+        out.write(json.dumps({"ids": kind, "length": length, "per_shard": per_shard, "sequences": size, "key": key, "end": end}).encode())
+    return written
+
+
+def _uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else "file://" + folder
+
+
+def read_shards(spark: SparkSession, folder: str, from_slot: int = 0, to_slot: int | None = None) -> DataFrame:
+    """``slot`` and ``ids`` (padded to the stride) of the sequences from a slot on, in training order within each partition. A task reads a run of
+    slots: one seek in a shard, then on without a break, so a training run that stopped goes on at its slot. Slots beyond the last give no rows."""
+    store, base = fs.FileSystem.from_uri(_uri(folder))
+    with store.open_input_stream(f"{base}/manifest.json") as f:
+        told = json.loads(f.read())
+    kind, length, per_shard = told["ids"], told["length"], told["per_shard"]
+    last = min(told["sequences"], told["sequences"] if to_slot is None else to_slot)
+    stride, uri = np.dtype(kind).itemsize * length, _uri(folder)
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(uri)
+        open_shard, source = None, None
+        for batch in it:
+            slots = batch.column(0).to_numpy()
+            for at in range(0, len(slots), 256):
+                ids = []
+                for slot in slots[at:at + 256].tolist():
+                    if slot // per_shard != open_shard:
+                        if source is not None:
+                            source.close()
+                        open_shard, source = slot // per_shard, files.open_input_file(f"{root}/shard-{slot // per_shard:08d}.bin")
+                    source.seek(slot % per_shard * stride)
+                    ids.append(np.frombuffer(source.read(stride), kind).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(slots[at:at + 256]), pa.array(ids, pa.list_(pa.int64()))], ["slot", "ids"])
+        if source is not None:
+            source.close()
+
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(0, last - from_slot) // per_shard)))
+    return spark.range(from_slot, max(from_slot, last), 1, tasks).select(F.col("id").alias("slot")).mapInArrow(read, "slot bigint, ids array<bigint>")
