@@ -7,11 +7,12 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from linkatlas.functions.html import DEFAULT_LIMIT_MB, limit_bytes, read_markup
+from linkatlas.functions.html import DEFAULT_LIMIT_MB, limit_bytes, read_each, read_markup
 from linkatlas.functions.text import ANY_BLANK, BLANK_CHARS, FORBIDDEN, LINE_BREAKS
 from linkatlas.functions.times import EPOCH_1601_GAP, FIRST_MICRO, ISO_PATTERN, LAST_MICRO
 from linkatlas.functions.urls import IGNORED, NETLOC, VALID_URL
@@ -92,10 +93,10 @@ def register_sql_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
 
 
-@F.pandas_udf(StringType())
-def parsed_page(html: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def parsed_page(html: pa.Array) -> pa.Array:
     """The raw text that the parser finds in a page; no markup gives ''."""
-    return html.map(lambda page: read_markup(page) if page else "")
+    return read_each(html, lambda page: read_markup(page) if page else "")
 
 
 class BookmarkNodes:
