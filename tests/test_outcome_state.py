@@ -39,6 +39,9 @@ def test_no_python_for_each_fetch(spark, tmp_path):
     path = str(tmp_path / "attempts.parquet")
     spark.range(40_000).selectExpr("id % 20000 AS url_id", "0L AS episode", "cast(id div 20000 AS int) AS attempt", "1704067200000000 + id AS us", "timestamp_ntz'2024-01-01' AS ts",
                                    "503 AS status", "cast(null AS string) AS location", "0L AS bytes", "cast(null AS string) AS error").coalesce(1).write.parquet(path)
+    warm = str(tmp_path / "warm.parquet")
+    put(spark, warm, (1, 0, 0, 503))
+    assert outcomes(spark, warm).count() == 1
     began = time.time()
     got = outcomes(spark, path)
     assert got.filter("tries = 2 AND error = 'HTTP 503'").count() == got.count() == 20_000
