@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkatlas.llm.language import held_out
 from linkatlas.llm.minhash import shingle_set
-from linkatlas.llm.text import batches
+from linkatlas.llm.text import batches, release
 from linkatlas.llm.wordgrid import Letters, WordGrid
 from linkatlas.session import durable
 
@@ -353,6 +353,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in parts:
                 yield pa.array(np.concatenate([scorer.value(part.slice(i, 500).to_pylist()) for i in range(0, len(part), 500)] or [np.zeros(0)]) < 0.5)
+            release()
 
         return judge(texts)
 
