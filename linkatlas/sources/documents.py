@@ -19,9 +19,9 @@ from pyspark.sql.types import StructType
 from linkatlas.functions.text import HASHES
 from linkatlas.session import durable
 
-# Folders that a task lists in the first round of a listing, and how many times as many in each further one; paths in a batch of it; bytes read at once.
+# Folders that a task lists in the first round of a listing, and how many times as many in each further one; paths in a batch of it; bytes read at once, and in a batch of contents.
 FOLDERS, MORE = 1000, 10
-PATHS, BLOCK = 10_000, 1 << 20
+PATHS, BLOCK, BATCH = 10_000, 1 << 20, 8 << 20
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -168,6 +168,32 @@ def _spelled(root: str, base: str) -> Column:
     return F.concat(F.lit(root.rstrip("/")), F.substr("path", F.lit(len(base.rstrip("/")) + 1)))
 
 
+def file_contents(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """``path`` and ``content`` of every file below ``path``; a file must fit in a row (2 GB). ``every``: also of those that Spark's readers leave out, see ``_passed_over``."""
+    folder = _folder(spark, path)
+    if folder is None:
+        return _whole(spark, path).select("path", "content")
+    root, uri, base = folder
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = FileSystem.from_uri(uri)[0]
+        rows = lambda names, contents: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+        for batch in batches:
+            names, contents, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with files.open_input_stream(name) as opened:
+                    content = opened.read()
+                if names and size + len(content) > BATCH:
+                    yield rows(names, contents)
+                    names, contents, size = [], [], 0
+                names.append(name)
+                contents.append(content)
+                size += len(content)
+            yield rows(names, contents)
+
+    return _paths(spark, uri, base, every).mapInArrow(read, "path string, content binary").select(_spelled(root, base).alias("path"), "content")
+
+
 def file_hashes(spark: SparkSession, path: str, algorithm: str = "md5", every: bool = False) -> DataFrame:
     """Fingerprint of every file below ``path``, of any size. ``every``: also of those that Spark's readers leave out, see ``_passed_over``."""
     if algorithm not in HASHES:

@@ -71,3 +71,19 @@ def test_hashes_of_documents(spark, pages):
     found = QUERIES["s10_file_hashes"](spark, sf_dir)
     assert found.inputFiles() == []
     assert difference(found, con, CHECKS["s10_file_hashes"]) is None
+
+
+def test_contents_of_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "BATCH", 100)
+    seen, every = tree(tmp_path / "t")
+    found = D.file_contents(spark, str(tmp_path / "t"))
+    assert found.inputFiles() == []
+    assert {r.path: bytes(r.content) for r in found.collect()} == seen
+    assert {r.path: bytes(r.content) for r in D.file_contents(spark, str(tmp_path / "t"), every=True).collect()} == every
+
+
+def test_documents_read_back(spark, pages):
+    sf_dir, con = pages
+    found = QUERIES["s7_document_files"](spark, sf_dir)
+    assert found.inputFiles() == []
+    assert difference(found, con, CHECKS["s7_document_files"]) is None
